@@ -1,12 +1,85 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, mixing, sharding.
+
+run() applies the stages to documents, each on all that the one before kept. Rows may have null or repeated ids; such
+rows go through every stage by a key of their own (`row_key`).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terrachron.llm import decontam, langid, mixing, sharding, simhash
 from terrachron.llm.common import stored
 
-STAGES: list = []
+#: Mixing keeps this share of the tokens and repeats none: small sources stay whole, large ones are thinned.
+BUDGET_SHARE = 0.9
+SHARDS = 24
+
+
+def row_key(docs: DataFrame) -> Column:
+    """The id; without one, a negative number made of the text."""
+    return F.coalesce(F.col("doc_id"), -F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62)) - 2)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts and texts with no letter. The others' lang is filled with the
+    prediction where it is null."""
+    model = langid.learn(docs)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            pred = [p for s in range(0, len(texts), 500) for p in model.predict(texts[s : s + 500])[0]]
+            named = [p if g is None else g for g, p in zip(batch.column(lang).to_pylist(), pred)]
+            cols = batch.columns
+            cols[lang] = pa.array(named, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(pa.array([p != "und" for p in pred], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component of near-duplicates the row with the least key; of rows that repeat that key, one."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    found = simhash.near_duplicates(keyed.select("_key", "text"), "_key", "text")
+    first = stored(found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("component_id").alias("_c")).where("_key = _c").select("_key", "_n"), "dedup-first")
+    kept = keyed.join(first, "_key")
+    once = kept.where("_n = 1").select(*docs.columns)
+    again = kept.where("_n > 1")
+    if again.select("_key").isEmpty():
+        return once
+    columns = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns]
+    return once.unionByName(again.groupBy("_key").agg(*columns).drop("_key"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents of a mixture of BUDGET_SHARE of the tokens, none taken twice."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    chosen = mixing.mix(keyed.select("_key", "source", "text"), "_key", budget_share=BUDGET_SHARE, repeats=1.0)
+    return keyed.join(chosen.select("_key").distinct(), "_key", "left_semi").select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places every document: doc_id, size, text_crc32, shard, slot."""
+    return sharding.shard_rows(docs.select("doc_id", "text"), SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("shard", shard),
+]
 #: Learned models, similarity links and sampled boundaries aren't SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
