@@ -2,7 +2,8 @@
 
 Lexicons and patterns vote on each text. A generative model of the votes (two classes; each voter fires with its own
 chance in either class) estimates their accuracies without looking at a label; pairs of voters that fire together
-more than the classes explain are taken as correlated, and their evidence is shared out. The model's posteriors then
+more than the classes explain are taken as correlated, and their evidence is shared out. A lexicon is of one language
+or another, so a voter that does not fire abstains. The model's posteriors then
 train a linear classifier over the words and word beginnings themselves, which scores every text.
 """
 
@@ -21,8 +22,8 @@ from .textnp import Words, binary_parts, mix, slices
 #: Labelled rows that the voters and the classifier are fitted on, drawn by a hash of the id.
 TRAIN_ROWS = 20_000
 #: Features kept for the classifier, and voters made of them.
-FEATURES = 4000
-VOTERS = 24
+FEATURES = 1000
+VOTERS = 16
 #: Byte lengths of the word beginnings that count as features besides the whole words.
 STEMS = (4, 5, 6, 7)
 
@@ -58,44 +59,50 @@ def _feature_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LabelModel:
-    """Two-class model of binary votes: prior, chance to fire by class, and weights that share correlated evidence."""
+    """Two-class model of votes: prior, each voter's chance to fire by class, and weights that share out the evidence of
+    correlated voters. Not to fire is an abstention and says nothing of the class; `against` marks the voters that
+    speak for the negative class."""
 
-    def __init__(self, rounds: int = 60):
+    def __init__(self, rounds: int = 40):
         self.rounds = rounds
 
-    def fit(self, votes: np.ndarray) -> LabelModel:
-        """votes: (rows, voters) of 0 and 1; 1 speaks for the positive class."""
+    def fit(self, votes: np.ndarray, against: np.ndarray) -> LabelModel:
+        """votes: (rows, voters) of 0 and 1."""
         n, k = votes.shape
-        v = votes.astype(float)
-        q = np.clip(v.mean(axis=1) * 2, 0.01, 0.99) if k else np.full(n, 0.5)
+        v, self.against = votes.astype(float), against
         self.weight = np.ones(k)
+        q = np.clip(0.5 + 0.2 * (v[:, ~against].sum(axis=1) - 2 * v[:, against].sum(axis=1)), 0.02, 0.98)
         for step in range(self.rounds):
             a, b = q.sum(), (1 - q).sum()
-            self.prior = np.clip((a + 0.5) / (n + 1), 1e-4, 1 - 1e-4)
-            self.fire = np.stack([((1 - q) @ v + 0.05) / (b + 1), (q @ v + 0.5) / (a + 1)])
-            self.fire = np.clip(self.fire, 1e-4, 1 - 1e-4)
-            self.fire[1] = np.maximum(self.fire[1], self.fire[0])
+            self.prior = float(np.clip((a + 0.5) / (n + 1), 1e-4, 1 - 1e-4))
+            self.fire = np.clip(np.stack([((1 - q) @ v + 0.5) / (b + 1), (q @ v + 0.5) / (a + 1)]), 1e-4, 1 - 1e-4)
             if step % 10 == 9 and n > 1 and k:
                 self.weight = 1 / (1 + self._shared(v, q))
             q = self.posterior(votes)
         return self
 
+    def accuracies(self) -> np.ndarray:
+        """Chance that the class is the one that a voter speaks for, where it fires."""
+        one = self.prior * self.fire[1] / (self.prior * self.fire[1] + (1 - self.prior) * self.fire[0])
+        return np.where(self.against, 1 - one, one)
+
     def _shared(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """For each voter the sum of its positive correlations with others within the classes."""
+        """For each voter the sum of its correlations with others within the classes, as far as beyond chance."""
         total = np.zeros((v.shape[1], v.shape[1]))
         for c, w in ((0, 1 - q), (1, q)):
             r = (v - self.fire[c]) * np.sqrt(w)[:, None]
             cov = r.T @ r / max(w.sum(), 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            total += np.where(cov / np.outer(sd, sd) > 0.1, cov / np.outer(sd, sd), 0) * (w.sum() / len(q))
+            r = cov / np.outer(sd, sd)
+            total = np.maximum(total, np.where(r > max(0.5, 4 / np.sqrt(max(w.sum(), 1))), r, 0))
         np.fill_diagonal(total, 0)
         self.correlation = total
         return total.sum(axis=1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on = np.log(self.fire[1]) - np.log(self.fire[0])
-        off = np.log1p(-self.fire[1]) - np.log1p(-self.fire[0])
-        z = np.log(self.prior / (1 - self.prior)) + votes @ ((on - off) * self.weight) + (off * self.weight).sum()
+        says = np.log(self.fire[1]) - np.log(self.fire[0])
+        says = np.where(self.against, np.minimum(says, 0), np.maximum(says, 0)) * self.weight
+        z = np.log(self.prior / (1 - self.prior)) + votes @ says
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -121,7 +128,7 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, l2: float = 0.03, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Weights and bias on 0/1 features (coordinate lists), by gradient steps scaled by the features' curvature."""
     w, bias = np.zeros(k), float(np.log(np.clip(target.mean(), 1e-4, 0.9999) / (1 - np.clip(target.mean(), 1e-4, 0.9999))))
     seen, momentum = np.bincount(cols, minlength=k), np.zeros(k)
@@ -137,6 +144,39 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.nda
     return w, bias
 
 
+def _families(rows: np.ndarray, cols: np.ndarray, n: int, k: int, strength: np.ndarray) -> np.ndarray:
+    """The lexicon of each feature: features that mostly stand in the same texts (a word and its beginnings) go to the
+    same one, and families of like strength too, so that a lexicon has one accuracy."""
+    x = np.zeros((n, k), np.float32)
+    x[rows, cols] = 1
+    both, seen = x.T @ x, x.sum(axis=0)
+    head = np.full(k, -1)
+    family = np.zeros(k, np.int64)
+    families = 0
+    for f in np.argsort(-strength, kind="stable"):
+        if head[f] >= 0:
+            continue
+        own = (head < 0) & (both[f] >= 0.7 * np.minimum(seen, seen[f]))
+        own[f] = True
+        head[own] = f
+        family[own] = families
+        families += 1
+    return family * min(VOTERS, families) // families
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that fit the scores to the training labels, by Newton steps with a weak prior on (1, 0)."""
+    t = np.array([1.0, 0.0])
+    x = np.stack([z, np.ones(len(z))], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+        g = x.T @ (y - p) - (t - [1.0, 0.0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
+        step = np.linalg.solve(h, g)
+        t = t + np.clip(step, -1, 1)
+    return (float(t[0]), float(t[1])) if t[0] > 0 else (1.0, 0.0)
+
+
 def learn(labelled: DataFrame, label: str = "label", text: str = "text", key: str = "doc_id", *, rows: int = TRAIN_ROWS) -> Toxicity:
     """Fit on about `rows` of the labelled rows (all, if fewer), drawn by a hash of the key; null labels teach nothing.
 
@@ -158,13 +198,13 @@ def learn(labelled: DataFrame, label: str = "label", text: str = "text", key: st
     neg = size - pos
     if not pos or not neg:
         return Toxicity(none, np.zeros(0), 5.0 if pos else -5.0)
-    counts = sample.select("y", F.explode("f").alias("h")).groupBy("h").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).where("n >= 4")
+    counts = sample.select("y", F.explode("f").alias("h")).groupBy("h").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     ratio = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg + 1.0))
     # telling: far from what the base rate explains, for its number of texts
     expected = F.col("n") * (pos / size)
     z = (F.col("p") - expected) / F.sqrt(expected * (1 - pos / size) + 0.25)
     top = (
-        counts.withColumn("z", z).withColumn("ratio", ratio).where("z > 3.5 and ratio > 1.0").orderBy(F.desc("z"), "h").limit(FEATURES).select("h", "z", "ratio", "p", "n").toPandas()
+        counts.withColumn("z", z).withColumn("ratio", ratio).where("z > 3.5 and ratio > 1.7 and p >= 0.5 * (n + 1.5)").orderBy(F.desc("z"), "h").limit(FEATURES).select("h", "z").toPandas()
     )
     h = top["h"].to_numpy(np.int64)
     if not len(h):
@@ -174,32 +214,33 @@ def learn(labelled: DataFrame, label: str = "label", text: str = "text", key: st
 
     def reduce(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            lists = batch.column(0)
+            lists = batch.column(1)
             own = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
             v = np.asarray(lists.flatten()).view(np.uint64)
             at = np.minimum(np.searchsorted(hs, v), len(hs) - 1)
             hit = hs[at] == v
             cut = np.searchsorted(own[hit], np.arange(len(lists) + 1))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(at[hit].astype(np.int32)))], names=["f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(at[hit].astype(np.int32)))], names=["y", "f"])
 
-    lists = sample.select("f").mapInArrow(reduce, "f array<int>").toArrow().column(0).combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    got = sample.select("y", "f").mapInArrow(reduce, "y int, f array<int>").toArrow().combine_chunks()
+    y, lists = np.asarray(got.column(0)).astype(float), got.column(1)
+    lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     m = len(lists)
     r = np.repeat(np.arange(m), np.diff(np.asarray(lists.offsets)))
     c = np.asarray(lists.flatten()).astype(np.int64)
-    # voters: lexicons of the telling features, dealt out by rank so that each has strong and weak ones; and patterns,
-    # two or more and three or more different telling features
-    k = min(VOTERS, len(hs))
-    voter = np.empty(len(hs), np.int64)
-    voter[np.argsort(-z_of, kind="stable")] = np.arange(len(hs)) % k
-    votes = np.zeros((m, k + 2))
+    voter = _families(r, c, m, len(hs), z_of)
+    k = int(voter.max()) + 1
+    votes = np.zeros((m, k + 4))
     votes[r, voter[c]] = 1
-    several = np.bincount(r, minlength=m)
-    votes[:, k], votes[:, k + 1] = several >= 2, several >= 3
-    target = LabelModel().fit(votes).posterior(votes)
+    # patterns: telling features of several lexicons speak for, none at all against; and the annotator's label is a
+    # voter like others, which may err, one way or the other
+    several = votes.sum(axis=1)
+    votes[:, k], votes[:, k + 1], votes[:, k + 2], votes[:, k + 3] = several >= 2, several == 0, y == 1, y == 0
+    against = np.isin(np.arange(k + 4), [k + 1, k + 3])
+    target = LabelModel().fit(votes, against).posterior(votes)
     w, bias = _logistic(r, c, m, len(hs), target)
-    return Toxicity(hs, w, bias)
+    slope, shift = _calibrated(bias + np.bincount(r, w[c], minlength=m), y)
+    return Toxicity(hs, w * slope, bias * slope + shift)
 
 
 def score(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "text") -> DataFrame:
