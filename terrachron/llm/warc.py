@@ -1,9 +1,9 @@
 """WARC archives: writing records, and reading them back by boundary-chain verification.
 
-Archives are written and read by Spark's text source with the separator that ends every record, so they are split like
-any other file and may lie in any store. A task sees the segments of its split in order. Where a segment starts with
-a record's magic and parses as a header, it is a candidate, and its content length names its successor. Magic inside a
-payload makes candidates too, but no chain of successors from the file's start leads to them: within a split each
+Archives are written and read by Spark's text source, so they are split like any other file and may lie in any store.
+They are cut where a record may begin: at the separator that ends every record followed by the magic. A task sees the
+segments of its split in order. A segment that parses as a header is a candidate, and its content length names its
+successor. Magic inside a payload makes candidates too, but no chain of successors from the file's start leads to them: within a split each
 candidate is followed to where its chain leaves the split, and over splits the chains are joined by pointer jumping.
 Only records that the start of the file reaches are kept.
 """
@@ -23,7 +23,10 @@ from .common import pick, read_table, shared_dir, stored
 SEP = "\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
-_MAGIC = re.compile(rb"(?:\r\n)?(WARC/1\.[01]\r\n)")
+MAGIC = "WARC/1."
+#: No beginning of it is also an ending, so the cuts do not depend on where a split begins.
+CUT = SEP + MAGIC
+_VERSION = re.compile(rb"[01]\r\n")
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,15})[ \t]*(?:\r\n|$)", re.I)
 
 
@@ -75,25 +78,30 @@ def write_warc(records: DataFrame, path: str) -> str:
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    got = spark.read.option("lineSep", SEP).text(path)
+    got = spark.read.option("lineSep", CUT).text(path)
     return got.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
-def candidate(segment: bytes) -> tuple[int, int] | None:
-    """(place of the magic in the segment, content length) if the segment is a record's header."""
-    m = _MAGIC.match(segment)
-    if not m:
+def candidate(head: bytes, first: bool) -> int | None:
+    """Bytes from the magic to the next record if the segment's beginning is a record's header. The first segment of a
+    file still has its magic."""
+    lead = 0
+    if first and head.startswith(MAGIC.encode()):
+        lead = len(MAGIC)
+    if not _VERSION.match(head, lead):
         return None
-    n = _LENGTH.search(segment, m.start(1))
-    return (m.start(1), int(n.group(1))) if n else None
+    n = _LENGTH.search(head, lead)
+    return len(MAGIC) + len(head) - lead + 4 + int(n.group(1)) + 4 if n else None
 
 
 def candidate_chains(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """For each split: (file, block, length) and, for each candidate in it, (file, block, at, out): its place and where
     the chain from it leaves the split, both relative to the split's first segment."""
     seg = _segments(spark, path)
-    magic = F.col("value").startswith(F.lit(b"WARC/1.")) | F.col("value").startswith(F.lit(b"\r\nWARC/1."))
-    light = seg.select("file", "block", F.octet_length("value").cast("long").alias("n"), F.when(magic, F.col("value")).alias("head"))
+    end = F.expr("position(X'0D0A0D0A', value)")
+    head = F.when(end > 0, F.expr("substring(value, 1, position(X'0D0A0D0A', value) - 1)")).otherwise(F.col("value"))
+    may = F.col("value").startswith(F.lit(b"0\r\n")) | F.col("value").startswith(F.lit(b"1\r\n")) | F.col("value").startswith(F.lit(MAGIC.encode()))
+    light = seg.select("file", "block", F.octet_length("value").cast("long").alias("n"), F.when(may, head).alias("head"))
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at, found = None, 0, {}
@@ -101,8 +109,7 @@ def candidate_chains(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
         def flush():
             out = {}
             for s in sorted(found, reverse=True):
-                to = found[s]
-                out[s] = out.get(to, to) if to < at else to
+                out[s] = out.get(found[s], found[s])
             starts = sorted(found)
             n = len(starts) + 1
             return pa.RecordBatch.from_arrays(
@@ -116,9 +123,11 @@ def candidate_chains(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
                     if now is not None:
                         yield flush()
                     now, at, found = (file, block), 0, {}
-                if head is not None and (c := candidate(head)):
-                    found[at + c[0]] = at + n + 4 + c[1] + 4
-                at += n + 4
+                first = block == 0 and at == 0
+                if head is not None and (c := candidate(head, first)):
+                    begin = at if first else at - len(MAGIC)
+                    found[begin] = begin + c
+                at += n + len(CUT)
         if now is not None:
             yield flush()
 
@@ -148,99 +157,91 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     return begins.join(here, ["file", "block"], "left").select("file", "block", "begin", "entry")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, header, content) of every record that the start of its file reaches.
+def _record_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, at, raw, whole): the bytes after the magic of each record that its file's start reaches; whole, or
+    in one part for each split it crosses (offset null: the part of a record that began in a split before).
 
     The map of splits to their first records has a row for each split, some hundred bytes to many megabytes of
-    archive; it alone is sent to the tasks. A record within one split is put together there; parts of one that
-    crosses splits are gathered by record, so memory follows the longest record.
+    archive; it alone is sent to the tasks.
     """
-    found = sorted(map(tuple, entries(spark, path).collect()), key=lambda r: (r[0], r[1]))
-    info = {}
-    for file, block, begin, entry in found:
-        info[file, block] = (begin, entry)
-    held = spark.sparkContext.broadcast(info)
+    held = spark.sparkContext.broadcast({(r["file"], r["block"]): (r["begin"], r["entry"]) for r in entries(spark, path).collect()})
+    lead, cut = len(MAGIC), CUT.encode()
 
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        rows: list[tuple] = []
-        size = 0
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, size = None, [], 0
 
         def flush():
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())],
-                names=["file", "offset", "whole", "at", "header", "content"],
-            )
+            c = list(zip(*rows))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["file", "offset", "at", "raw", "whole"])
+
+        record = to = pos = at = None
+        parts: list[bytes] = []
+        is_open = False
 
         def close():
-            """The record that is open at the end of a split, or complete."""
-            if record is None:
-                return
-            data = b"".join(parts)
-            rows.append((now[0], record, len(data) >= want, at0, head, data[:want] if len(data) >= want else data))
+            """to: where the open record ends."""
+            raw = b"".join(parts)
+            whole = record is not None and len(raw) + lead + 4 >= to - record
+            rows.append((now[0], record, at, raw[: to - record - lead - 4] if whole else raw, whole))
 
-        record, parts, want, have, at0, head, to = None, [], 0, 0, 0, None, -1
         for batch in it:
             for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != (file, block):
-                    if now is not None:
+                    if is_open:
                         close()
                     now = (file, block)
                     pos, entry = held.value[now]
-                    # before the entry: the rest of a record that began in a split before
-                    record, parts, want, at0, head = -1, [], 1 << 62, pos, None
-                    to = entry if entry is not None else 1 << 62
-                    if to <= pos:
-                        record = None
-                if pos <= to < pos + len(value) + 4:
-                    lead = to - pos
-                    if record is not None:
-                        if lead:
-                            parts.append(value[:lead])
+                    # before the entry stands the rest of a record that began in a split before
+                    record, parts, at, to, is_open = None, [], pos, -1 if entry is None else entry, block > 0
+                first = block == 0 and pos == 0
+                here = pos if first else pos - lead
+                c = None
+                if here == to:
+                    end = value.find(b"\r\n\r\n")
+                    c = candidate(value if end < 0 else value[:end], first)
+                    if is_open and parts or record is not None:
                         close()
-                    seg = value[lead:]
-                    c = candidate(seg)
-                    if c is None:
-                        record, parts, to = None, [], 1 << 62
+                    is_open, parts = c is not None, []
+                    if c:
+                        record, at, to = here, pos, here + c
+                        parts.append(value[lead:] if first else value)
                     else:
-                        record, parts, want, head = to, [], c[1], bytes(seg)
-                        at0 = to + len(seg) + 4
-                        to = at0 + want + 4
-                elif record is not None:
-                    parts.append(value)
-                    parts.append(b"\r\n\r\n")
-                pos += len(value) + 4
+                        record, to = None, -1
+                elif is_open:
+                    parts += [cut, value]
+                pos += len(value) + len(cut)
                 size += len(value)
                 if rows and size > 4 << 20:
                     yield flush()
                     rows, size = [], 0
-        if now is not None:
+        if is_open and parts:
             close()
         if rows:
             yield flush()
 
-    seg = _segments(spark, path)
-    got = seg.mapInArrow(cut, "file string, offset bigint, whole boolean, at bigint, header binary, content binary")
-    return got
+    return _segments(spark, path).mapInArrow(read, "file string, offset bigint, at bigint, raw binary, whole boolean")
+
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, header, content) of every record that the start of its file reaches; the header is what follows
+    the magic.
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, header, content): whole records, those that cross splits put together."""
-    got = read_warc(spark, path)
-    whole = got.where("whole").select("file", "offset", "header", "content")
+    Most records lie in one split and are put together there. The parts of one that crosses splits are gathered by
+    record, so memory follows the longest record. A chain that meets no candidate ends its file: later records can't
+    be told from payload.
+    """
+    got = _record_parts(spark, path)
     parts = stored(got.where("not whole"), "warc-parts")
-    # a part without a header goes to the record that was open where it begins
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # at most two rows a split
-    named = parts.withColumn("offset", F.max(F.when(F.col("offset") >= 0, F.col("offset"))).over(w)).where("offset is not null")
-    joined = (
-        named.groupBy("file", "offset")
-        .agg(F.max("header").alias("header"), F.array_sort(F.collect_list(F.struct("at", "content"))).alias("parts"))
-        .select("file", "offset", "header", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["content"])).alias("content"))
-    )
-    want = F.regexp_extract(F.col("header").cast("string"), r"(?i)\r\ncontent-length:[ \t]*(\d+)", 1).cast("long")
-    joined = joined.withColumn("want", want).where(F.octet_length("content") >= F.col("want")).withColumn("content", F.expr("substring(content, 1, int(want))")).drop("want")
-    return whole.unionByName(joined)
+    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # at most two parts a split
+    named = parts.withColumn("offset", F.max("offset").over(w)).where("offset is not null")
+    joined = named.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts"))
+    joined = joined.select("file", "offset", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["raw"])).alias("raw"))
+    raw = got.where("whole").select("file", "offset", "raw").unionByName(joined)
+    out = raw.select("file", "offset", F.expr("substring(raw, 1, position(X'0D0A0D0A', raw) - 1)").alias("header"), F.expr("substring(raw, position(X'0D0A0D0A', raw) + 4)").alias("content"))
+    want = F.regexp_extract(F.col("header").cast("string"), r"(?i)\r\ncontent-length:[ \t]*(\d+)", 1)
+    out = out.withColumn("want", F.when(want != "", want.cast("long"))).where(F.octet_length("content") >= F.col("want"))
+    return out.select("file", "offset", "header", F.expr("substring(content, 1, int(want))").alias("content"))
 
 
 def field(name: str):
@@ -256,7 +257,7 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     number = lambda n: F.when(ident(n) != "", ident(n).cast("long"))
     # the payload follows the HTTP header; positions are those of bytes
     body = F.expr("substring(content, position(X'0D0A0D0A', content) + 4)")
-    records = read_payloads(spark, path).select(
+    records = read_warc(spark, path).select(
         number("WARC-Record-ID").alias("page_id"),
         field("WARC-Type").alias("record_type"),
         number("WARC-Refers-To").alias("refers_to"),
