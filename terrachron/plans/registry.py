@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = (
+    "terrachron.operators.trend",
+    "terrachron.functions.optics",
+    "terrachron.operators.composite",
+)
+
+
+def _all() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= importlib.import_module(m).QUERIES
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _all().items() if s}
