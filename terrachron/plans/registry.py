@@ -8,6 +8,9 @@ MODULES = (
     "terrachron.operators.trend",
     "terrachron.functions.optics",
     "terrachron.operators.composite",
+    "terrachron.operators.smooth",
+    "terrachron.operators.events",
+    "terrachron.operators.spatial",
 )
 
 
