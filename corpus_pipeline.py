@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.llm import decontam, langid, mixing, sharding, simhash
-from terrachron.llm.common import stored
+from terrachron.llm.common import arrow_rows, stored
 
 #: Mixing keeps this share of the tokens and repeats none: small sources stay whole, large ones are thinned.
 BUDGET_SHARE = 0.9
@@ -39,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             cols[lang] = pa.array(named, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(pa.array([p != "und" for p in pred], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow_rows(docs).mapInArrow(keep, docs.schema)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(df: DataFrame, records: int = 1000, size: int = 8 << 20) -> DataFrame:
+    """Bound the Arrow batches of the session's Python operators: whole texts are wide rows, and a worker holds a batch
+    at a time. Returns df."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

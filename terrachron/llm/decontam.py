@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, read_table
+from .common import arrow_rows, pick, read_table
 from .simhash import majority, votes
 from .textnp import Words, binary_parts, shingles, slices
 
@@ -176,7 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                         names=[key, "item_id", "first_word", "similarity"],
                     )
 
-        out = out.unionByName(pick(docs, key, text).mapInArrow(find, schema))
+        out = out.unionByName(arrow_rows(pick(docs, key, text)).mapInArrow(find, schema))
     return out
 
 
@@ -195,7 +195,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                         good[i + d] = False
                 yield batch.filter(pa.array(good))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = arrow_rows(docs).mapInArrow(keep, docs.schema)
     return docs
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pick, read_table
+from .common import arrow_rows, crc_mod, pick, read_table
 from .textnp import mix
 
 SIZES = (3, 4)
@@ -178,7 +178,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 n = np.diff(np.r_[at, len(h)])
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(g[at].astype(np.int32)), pa.array(n)], names=["h", "g", "n"])
 
-    drawn = rows.where(draw)
+    drawn = arrow_rows(rows).where(draw)
     size = {bit[r["g"]]: r["n"] for r in drawn.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     grams = drawn.select("t", "g").mapInArrow(count, "h bigint, g int, n bigint").groupBy("h", "g").agg(F.sum("n").alias("n"))
     rate = F.lit(None).cast("double")
@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: BitmaskFilter, key: str = "doc_id", text: s
                 names=[key, "lang_pred", "score"],
             )
 
-    return pick(docs, key, text).mapInArrow(score, f"`{key}` bigint, lang_pred string, score double")
+    return arrow_rows(pick(docs, key, text)).mapInArrow(score, f"`{key}` bigint, lang_pred string, score double")
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:

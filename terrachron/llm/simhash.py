@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pick, read_table, stored
+from .common import arrow_rows, components, pick, read_table, stored
 from .textnp import Words, binary_parts, mix, shingles, slices
 
 #: Fingerprints of one key that one task compares; beyond it a key is dealt out in pairs of blocks.
@@ -105,7 +105,7 @@ def fingerprints(
             names = [key, *(f"w{i}" for i in range(words))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, cols)], names=names)
 
-    return pick(docs, key, text).mapInArrow(rows, schema)
+    return arrow_rows(pick(docs, key, text)).mapInArrow(rows, schema)
 
 
 # ---- keys

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pick, read_table, stored
+from .common import arrow_rows, crc_mod, pick, read_table, stored
 from .textnp import Words, binary_parts, mix, slices
 
 #: Labelled rows that the voters and the classifier are fitted on, drawn by a hash of the id.
@@ -193,7 +193,7 @@ def learn(labelled: DataFrame, label: str = "label", text: str = "text", key: st
     if len(by) < 2:
         return Toxicity(none, np.zeros(0), 5.0 if 1 in by else -5.0)
     draw = F.pmod(F.xxhash64("k", F.lit(29)), F.lit(1 << 20)) < int(min(1.0, rows / n) * (1 << 20))
-    sample = stored(base.where(draw).select("y", "t").mapInArrow(_feature_rows, "y int, f array<bigint>"), "tox-sample")
+    sample = stored(arrow_rows(base).where(draw).select("y", "t").mapInArrow(_feature_rows, "y int, f array<bigint>"), "tox-sample")
     pos, size = (int(x or 0) for x in sample.agg(F.sum("y"), F.count(F.lit(1))).first())
     neg = size - pos
     if not pos or not neg:
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "te
             out = [model.scores(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in slices(offs)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[key, "score"])
 
-    return pick(docs, key, text).mapInArrow(rows, f"`{key}` bigint, score double")
+    return arrow_rows(pick(docs, key, text)).mapInArrow(rows, f"`{key}` bigint, score double")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, read_table, shared_dir, stored
+from .common import arrow_rows, pick, read_table, shared_dir, stored
 
 SEP = "\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
@@ -220,7 +220,7 @@ def _record_parts(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield flush()
 
-    return _segments(spark, path).mapInArrow(read, "file string, offset bigint, at bigint, raw binary, whole boolean")
+    return arrow_rows(_segments(spark, path)).mapInArrow(read, "file string, offset bigint, at bigint, raw binary, whole boolean")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
