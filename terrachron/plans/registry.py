@@ -11,6 +11,11 @@ MODULES = (
     "terrachron.operators.smooth",
     "terrachron.operators.events",
     "terrachron.operators.spatial",
+    "terrachron.operators.som",
+    "terrachron.operators.superpixel",
+    "terrachron.operators.matching",
+    "terrachron.functions.losses",
+    "terrachron.sources.scenes",
 )
 
 
