@@ -16,6 +16,8 @@ MODULES = (
     "terrachron.operators.matching",
     "terrachron.functions.losses",
     "terrachron.sources.scenes",
+    "terrachron.operators.breaks",
+    "terrachron.operators.trajectory",
 )
 
 
