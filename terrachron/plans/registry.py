@@ -18,6 +18,9 @@ MODULES = (
     "terrachron.sources.scenes",
     "terrachron.operators.breaks",
     "terrachron.operators.trajectory",
+    "terrachron.operators.harmonic",
+    "terrachron.operators.phenology",
+    "terrachron.operators.classify",
 )
 
 
