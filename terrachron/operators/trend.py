@@ -7,6 +7,7 @@ the only shuffle. Gaps keep their index: slopes are per step of the grid.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +95,6 @@ def mann_kendall(series: DataFrame, method: str = "original", *, period: int = 1
 
 
 def _p_value(z: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def two_sided(z: pd.Series) -> pd.Series:
         from math import erfc
