@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,20 +155,19 @@ def shard_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str
         seen[s] = offset[-1] + r["n"]
     placed = _with_range(rows, key, cuts)
     plan = spark.createDataFrame([(i, s, o) for i, (s, o) in enumerate(zip(owner, offset))], "rng int, shard int, first long")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("rng").orderBy("h", F.col(key).asc_nulls_first(), "size"))
     placed = placed.withColumn("place", place).join(F.broadcast(plan), "rng")  # as many rows as ranges, about 64 a shard
     return placed.select(key, "size", "text_crc32", "rng", "shard", (F.col("first") + F.col("place") - 1).alias("slot"))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str | None = None, key: str = "doc_id") -> str:
-    """Write the documents (unique ids) shard by shard, in slot order within each range; returns the path."""
+    """Write the documents (unique ids) in folders `_shard=n`, in slot order within each range; returns the path."""
     path = path or shared_dir(docs.sparkSession, "shards")
-    where = placed.select(F.col(key).alias("_k"), "rng", "shard", "slot")
+    where = placed.select(F.col(key).alias("_k"), F.col("rng").alias("_rng"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     out = docs.join(where, F.col(f"`{key}`").eqNullSafe(F.col("_k"))).drop("_k")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out.repartitionByRange(parts, "rng").sortWithinPartitions("shard", "slot").drop("rng").write.partitionBy("shard").parquet(path)
+    ordered = out.repartitionByRange(parts, "_rng").sortWithinPartitions("_rng", "_slot").drop("_rng", "_slot")
+    ordered.write.partitionBy("_shard").parquet(path)
     return path
 
 

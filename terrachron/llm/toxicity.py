@@ -59,12 +59,12 @@ def _feature_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LabelModel:
-    """Two-class model of votes: prior, each voter's chance to fire by class, and weights that share out the evidence of
+    """Two-class model of votes: each voter's chance to fire by class, and weights that share out the evidence of
     correlated voters. Not to fire is an abstention and says nothing of the class; `against` marks the voters that
-    speak for the negative class."""
+    speak for the negative class. The class balance is given: rows on which all abstain would otherwise draw it away."""
 
-    def __init__(self, rounds: int = 40):
-        self.rounds = rounds
+    def __init__(self, balance: float, rounds: int = 40):
+        self.prior, self.rounds = float(np.clip(balance, 1e-4, 1 - 1e-4)), rounds
 
     def fit(self, votes: np.ndarray, against: np.ndarray) -> LabelModel:
         """votes: (rows, voters) of 0 and 1."""
@@ -74,7 +74,6 @@ class LabelModel:
         q = np.clip(0.5 + 0.2 * (v[:, ~against].sum(axis=1) - 2 * v[:, against].sum(axis=1)), 0.02, 0.98)
         for step in range(self.rounds):
             a, b = q.sum(), (1 - q).sum()
-            self.prior = float(np.clip((a + 0.5) / (n + 1), 1e-4, 1 - 1e-4))
             self.fire = np.clip(np.stack([((1 - q) @ v + 0.5) / (b + 1), (q @ v + 0.5) / (a + 1)]), 1e-4, 1 - 1e-4)
             if step % 10 == 9 and n > 1 and k:
                 self.weight = 1 / (1 + self._shared(v, q))
@@ -237,7 +236,7 @@ def learn(labelled: DataFrame, label: str = "label", text: str = "text", key: st
     several = votes.sum(axis=1)
     votes[:, k], votes[:, k + 1], votes[:, k + 2], votes[:, k + 3] = several >= 2, several == 0, y == 1, y == 0
     against = np.isin(np.arange(k + 4), [k + 1, k + 3])
-    target = LabelModel().fit(votes, against).posterior(votes)
+    target = LabelModel(pos / size).fit(votes, against).posterior(votes)
     w, bias = _logistic(r, c, m, len(hs), target)
     slope, shift = _calibrated(bias + np.bincount(r, w[c], minlength=m), y)
     return Toxicity(hs, w * slope, bias * slope + shift)

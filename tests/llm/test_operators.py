@@ -385,13 +385,14 @@ def test_label_model_finds_accuracies():
     y = rng.random(8000) < 0.3
     fire = [(0.5, 0.01), (0.4, 0.02), (0.6, 0.2), (0.3, 0.01)]
     votes = np.stack([np.where(y, rng.random(8000) < a, rng.random(8000) < b) for a, b in fire], axis=1)
-    votes = np.c_[votes, np.where(y, rng.random(8000) < 0.05, rng.random(8000) < 0.8)].astype(float)
-    against = np.array([False] * 4 + [True])
-    m = toxicity.LabelModel().fit(votes, against)
+    told = y ^ (rng.random(8000) < 0.1)  # an annotator who errs
+    votes = np.c_[votes, told, ~told].astype(float)
+    against = np.array([False] * 5 + [True])
+    m = toxicity.LabelModel(0.3).fit(votes, against)
     true = [y[votes[:, j] == 1].mean() for j in range(4)]
     assert np.abs(m.accuracies()[:4] - true).max() < 0.2
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.85
-    twin = toxicity.LabelModel().fit(np.c_[votes, votes[:, 0]], np.r_[against, False])
+    twin = toxicity.LabelModel(0.3).fit(np.c_[votes, votes[:, 0]], np.r_[against, False])
     assert twin.weight[0] < 0.7 and twin.weight[0] < twin.weight[3]
 
 
@@ -423,4 +424,4 @@ def test_written_shards_hold_all_rows(spark):
     df = docs(spark, [f"t{i % 50}" for i in range(300)])
     path = sharding.write_shards(df, sharding.shard_rows(df, 4))
     back = spark.read.parquet(path)
-    assert back.count() == 300 and back.select("shard").distinct().count() == 4
+    assert back.count() == 300 and back.select("_shard").distinct().count() == 4
