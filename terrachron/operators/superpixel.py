@@ -140,7 +140,7 @@ def q_snic(spark, d):
     r = raster(spark, d)
     cells = r.select("y", "x", F.array("v", F.col("x").cast("double")).alias("f"))
     size = r.agg(F.max("y"), F.max("x")).first()
-    return snic(cells, seed_grid(spark, (size[0] + 1, size[1] + 1), 8.0), compactness=5.0)
+    return snic(cells, seed_grid(spark, (size[0] + 1, size[1] + 1), 8.0, 0.0), compactness=5.0)
 
 
 def q_means(spark, d):
