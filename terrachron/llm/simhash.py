@@ -377,14 +377,16 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, component_id) by fingerprints of 64 * words bits over five-word shingles.
 
-    The radius is the number of bits at which two texts of this shingle similarity differ on average. Blocks can't
+    The radius is the number of bits at which two texts of this shingle similarity differ on average, and half a
+    standard deviation more, as missing a copy is worse than taking one just below the similarity. Blocks can't
     select at such a radius, so keys are drawn bits: pairs at the threshold meet with chance recall, closer ones with
     more. Exact copies share a fingerprint and never need to meet.
     """
     names = [f"w{i}" for i in range(words)]
     fp = stored(fingerprints(docs, key, text, shingle=shingle, words=words, exact=False), "near-fp")
     nodes = stored(fp.groupBy(*names).agg(F.min(key).alias("id")), "near-nodes")
-    radius = round(64 * words * (1 - agreement(similarity)))
+    bits, differ = 64 * words, 1 - agreement(similarity)
+    radius = round(bits * differ + 0.5 * math.sqrt(bits * differ * (1 - differ)))
     pairs = link(nodes.select("id", *names), sampled_masks(nodes.count(), 64 * words, similarity, recall), radius, words)
     root = components(pairs, "near-cc")
     named = nodes.join(root, nodes.id == root.node, "left").select(*names, F.coalesce("root", "id").alias("component_id"))
