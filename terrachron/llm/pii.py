@@ -29,7 +29,13 @@ IP = r"(?<![\w.\-])\d{1,3}(?:\.\d{1,3}){3}(?![\w\-]|\.\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ \-]?\(?\d{1,4}\)?(?:[ \-]?\d{2,4}){2,4}(?![\w\-])"
 CARD = r"(?<![\w\-.])\d(?:[ \-]?\d){12,18}(?![\w\-]|\.\d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
-ALL = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ISO_DATE, DOT_DATE, SLASH_DATE, IP, PHONE, SSN, CARD))
+#: A match begins where no letter or digit stands before, in a word with a digit or @; the rest is passed over at once.
+ALL = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+]\S*[0-9@]|[0-9])(?:" + "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ISO_DATE, DOT_DATE, SLASH_DATE, IP, PHONE, SSN, CARD)) + ")"
+
+
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once: an expression inside a lambda would be worked out for every element."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
 
 
 def _prf(key: str, *parts: Column) -> Column:
@@ -48,18 +54,19 @@ def _add(left: Column, hexes: Column, alphabet: str) -> Column:
 def feistel(s: Column, alphabet: str, key: str, tweak: str) -> Column:
     """A keyed permutation of the strings of each length over the alphabet: an alternating Feistel network on the two
     halves. Halves of more than 64 characters don't occur in the formats here."""
-    n = F.length(s)
 
     def start(x: Column) -> Column:
         half = (F.length(x) / 2).cast("int")
         return F.struct(F.substring(x, F.lit(1), half).alias("a"), F.substring(x, half + 1, F.length(x)).alias("b"))
 
-    def round_(state: Column, i: Column) -> Column:
-        stream = lambda b, c: _prf(key, F.lit(tweak), i, n, F.lit(c), b)
-        both = F.concat(stream(state["b"], 0), stream(state["b"], 1))
-        return F.struct(state["b"].alias("a"), _add(state["a"], both, alphabet).alias("b"))
+    def network(x: Column) -> Column:
+        def round_(state: Column, i: Column) -> Column:
+            stream = [_prf(key, F.lit(tweak), i, F.length(x), F.lit(c), state["b"]) for c in (0, 1)]
+            return let(F.concat(*stream), lambda h: F.struct(state["b"].alias("a"), _add(state["a"], h, alphabet).alias("b")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start(x), round_, lambda st: F.concat(st["a"], st["b"]))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start(s), round_, lambda st: F.concat(st["a"], st["b"]))
+    return let(s, network)
 
 
 def _luhn_sum(digits: Column, double_last: bool) -> Column:
@@ -77,21 +84,26 @@ def _luhn_sum(digits: Column, double_last: bool) -> Column:
 def _refill(form: Column, chars: Column, cls: str) -> Column:
     """The characters in the places of the form that are of the class; others stay."""
     state = F.struct(F.lit("").alias("o"), F.lit(1).alias("k"))
-    return F.aggregate(
-        F.split(form, ""),
-        state,
-        lambda st, c: F.when(c.rlike(cls), F.struct(F.concat(st["o"], F.substring(chars, st["k"], F.lit(1))).alias("o"), (st["k"] + 1).alias("k"))).otherwise(
-            F.struct(F.concat(st["o"], c).alias("o"), st["k"].alias("k"))
-        ),
-        lambda st: st["o"],
-    )
+
+    def fill(chars: Column) -> Column:
+        return F.aggregate(
+            F.split(form, ""),
+            state,
+            lambda st, c: F.when(c.rlike(cls), F.struct(F.concat(st["o"], F.substring(chars, st["k"], F.lit(1))).alias("o"), (st["k"] + 1).alias("k"))).otherwise(
+                F.struct(F.concat(st["o"], c).alias("o"), st["k"].alias("k"))
+            ),
+            lambda st: st["o"],
+        )
+
+    return let(chars, fill)
 
 
 def _card(m: Column, key: str) -> Column:
-    d = F.regexp_replace(m, "[^0-9]", "")
-    body = feistel(F.substring(d, F.lit(1), F.length(d) - 1), DIGITS, key, "card")
-    new = F.concat(body, ((10 - _luhn_sum(body, True) % 10) % 10).cast("string"))
-    return F.when(_luhn_sum(d, False) % 10 == 0, _refill(m, new, "[0-9]")).otherwise(_digits(m, key))
+    def valid(d: Column) -> Column:
+        body = feistel(F.substring(d, F.lit(1), F.length(d) - 1), DIGITS, key, "card")
+        return let(body, lambda b: _refill(m, F.concat(b, ((10 - _luhn_sum(b, True) % 10) % 10).cast("string")), "[0-9]"))
+
+    return let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.when(_luhn_sum(d, False) % 10 == 0, valid(d)).otherwise(m))
 
 
 def _digits(m: Column, key: str) -> Column:
@@ -114,8 +126,7 @@ def _ip(m: Column, key: str) -> Column:
     o = F.split(m, r"\.")
     valid = F.forall(o, lambda x: (x.cast("int") <= 255) & (x == x.cast("int").cast("string")))
     h = F.array_join(F.transform(o, lambda x: F.lower(F.lpad(F.hex(x.cast("int")), 2, "0"))), "")
-    p = feistel(h, HEX, key, "ip")
-    back = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(p, i * 2 + 1, F.lit(2)), 16, 10)), ".")
+    back = let(feistel(h, HEX, key, "ip"), lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(p, i * 2 + 1, F.lit(2)), 16, 10)), "."))
     return F.when(valid, back).otherwise(m)
 
 
@@ -125,18 +136,19 @@ DAY0, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 
 
 def _date(m: Column, key: str, form: str) -> Column:
-    day = F.datediff(F.try_to_date(m, form) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(m, F.lit(form))), F.lit(DAY0).cast("date"))
-    valid = day.isNotNull() & (day >= 0) & (day < DAYS_A * DAYS_B)
+    day = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(form))), F.lit(DAY0).cast("date"))
+    number = lambda h: F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
 
     def round_(s: Column, i: Column) -> Column:
-        f = F.conv(F.substring(_prf(key, F.lit("date"), i, s["b"]), 1, 12), 16, 10).cast("long")
-        g = F.conv(F.substring(_prf(key, F.lit("date2"), i, (s["a"] + f) % DAYS_A), 1, 12), 16, 10).cast("long")
-        a = (s["a"] + f) % DAYS_A
-        return F.struct(a.cast("long").alias("a"), ((s["b"] + g) % DAYS_B).cast("long").alias("b"))
+        a = (s["a"] + number(_prf(key, F.lit("date"), i, s["b"]))) % DAYS_A
+        return let(a, lambda a: F.struct(a.cast("long").alias("a"), ((s["b"] + number(_prf(key, F.lit("date2"), i, a))) % DAYS_B).cast("long").alias("b")))
+
+    def moved(day: Column) -> Column:
+        start = F.struct((day % DAYS_A).cast("long").alias("a"), F.floor(day / DAYS_A).cast("long").alias("b"))
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, round_, lambda s: (s["a"] + s["b"] * DAYS_A).cast("int"))
+        return F.when(day.isNotNull() & (day >= 0) & (day < DAYS_A * DAYS_B), F.date_format(F.date_add(F.lit(DAY0).cast("date"), new), form)).otherwise(m)
 
-    start = F.struct((F.coalesce(day, F.lit(0)) % DAYS_A).cast("long").alias("a"), F.floor(F.coalesce(day, F.lit(0)) / DAYS_A).cast("long").alias("b"))
-    new = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, round_, lambda s: (s["a"] + s["b"] * DAYS_A).cast("int"))
-    return F.when(valid, F.date_format(F.date_add(F.lit(DAY0).cast("date"), new), form)).otherwise(m)
+    return let(day, moved)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -168,18 +180,21 @@ def _kind(m: Column) -> Column:
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
     """The pseudonym of one match; what does not validate stays as it is."""
-    k = _kind(m)
-    return (
-        F.when(k == "email", _email(m, key))
-        .when(k == "secret", _secret(m, key))
-        .when(k == "iso", _date(m, key, "yyyy-MM-dd"))
-        .when(k == "dot", _date(m, key, "dd.MM.yyyy"))
-        .when(k == "slash", _date(m, key, "MM/dd/yyyy"))
-        .when(k == "ip", _ip(m, key))
-        .when(k == "phone", _phone(m, key))
-        .when(k == "ssn", _digits(m, key))
-        .otherwise(_card(m, key))
-    )
+
+    def of(k: Column) -> Column:
+        return (
+            F.when(k == "email", _email(m, key))
+            .when(k == "secret", _secret(m, key))
+            .when(k == "iso", _date(m, key, "yyyy-MM-dd"))
+            .when(k == "dot", _date(m, key, "dd.MM.yyyy"))
+            .when(k == "slash", _date(m, key, "MM/dd/yyyy"))
+            .when(k == "ip", _ip(m, key))
+            .when(k == "phone", _phone(m, key))
+            .when(k == "ssn", _digits(m, key))
+            .otherwise(_card(m, key))
+        )
+
+    return let(_kind(m), of)
 
 
 def pseudonymise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, secret: str = KEY) -> DataFrame:
