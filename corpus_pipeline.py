@@ -47,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("_key", row_key(docs))
     found = simhash.near_duplicates(keyed.select("_key", "text"), "_key", "text")
     first = stored(found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("component_id").alias("_c")).where("_key = _c").select("_key", "_n"), "dedup-first")
-    kept = keyed.join(first, "_key")
+    kept = keyed.join(first.hint("merge"), "_key")  # the kept keys grow with the corpus: never broadcast
     once = kept.where("_n = 1").select(*docs.columns)
     again = kept.where("_n > 1")
     if again.select("_key").isEmpty():
@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents of a mixture of BUDGET_SHARE of the tokens, none taken twice."""
     keyed = docs.withColumn("_key", row_key(docs))
     chosen = mixing.mix(keyed.select("_key", "source", "text"), "_key", budget_share=BUDGET_SHARE, repeats=1.0)
-    return keyed.join(chosen.select("_key").distinct(), "_key", "left_semi").select(*docs.columns)
+    return keyed.join(chosen.select("_key").distinct().hint("merge"), "_key", "left_semi").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
