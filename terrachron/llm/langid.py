@@ -28,7 +28,7 @@ HASHES = 4
 MIN_SHARE = 0.004
 OF_BEST = 0.1
 #: Characters worked off at a time; longer texts are cut with an overlap.
-PIECE = 1 << 18
+PIECE = 1 << 16
 
 _LETTER: list[np.ndarray] = []
 
@@ -163,8 +163,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts, tag = batch.column(0).to_pylist(), np.array([bit[g] for g in batch.column(1).to_pylist()], np.int64)
-            for s in range(0, len(texts), 200):
-                seen = [np.stack([h, row.astype(np.uint64)]) for h, row in ngrams(texts[s : s + 200])]
+            for s in range(0, len(texts), 50):
+                seen = [np.stack([h, row.astype(np.uint64)]) for h, row in ngrams(texts[s : s + 50])]
                 if not seen:
                     continue
                 h, row = np.concatenate(seen, axis=1)

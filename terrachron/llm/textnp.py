@@ -1,6 +1,6 @@
 """Vectorised reading of Arrow text columns: words, rolling word hashes and shingle hashes of whole texts.
 
-A batch is worked off in slices of a few million bytes, so a worker's memory follows SLICE_BYTES and the longest
+A batch is worked off in slices of some hundred thousand bytes, so a worker's memory follows SLICE_BYTES and the longest
 single text, not the batch.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
