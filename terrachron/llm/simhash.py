@@ -7,6 +7,8 @@ which every pair is beyond the radius are abandoned. Connected components join t
 Two ways to make keys: `block_masks` cuts the bits in m blocks and keeps every choice of m - radius blocks, so each
 pair within the radius shares a key (no link is lost); `sampled_masks` draws bits at random, for radii at which
 blocks no longer select, with a known chance to meet.
+
+Links at such a radius are candidates only: `verified` compares the shingle sets of linked texts themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .textnp import Words, binary_parts, mix, shingles, slices
 
 #: Fingerprints of one key that one task compares; beyond it a key is dealt out in pairs of blocks.
 BLOCK = 8192
+#: Texts, and shingles of them, that one block of a component holds when shingle sets are compared.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 19
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -108,6 +112,48 @@ def fingerprints(
     return arrow_rows(pick(docs, key, text)).mapInArrow(rows, schema)
 
 
+def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the distinct k-word shingles of each text, ascending by text and hash."""
+    w = Words(data, offs)
+    h, at = shingles(w.hashes(), w.doc, k)
+    h, owner = mix(h), w.doc[at]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]
+    return h[new], owner[new]
+
+
+def set_ids(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit name of each text's shingle set; texts of equal sets have the same one, wordless texts zero."""
+    out = np.zeros(n, np.uint64)
+    begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+    if len(begin):
+        with np.errstate(over="ignore"):
+            out[owner[begin]] = mix(np.add.reduceat(mix(h, 91), begin))
+    return out.view(np.int64)
+
+
+def set_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, words: int) -> DataFrame:
+    """(key, id, n, w0 .. w{words-1}): name, size and fingerprint of each whole text's set of shingles."""
+    schema = f"`{key}` bigint, id bigint, n bigint, " + ", ".join(f"w{i} bigint" for i in range(words))
+    names = [key, "id", "n", *(f"w{i}" for i in range(words))]
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            data, offs = binary_parts(batch.column(1))
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(words + 2)]
+            for i, j in slices(offs):
+                h, owner = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
+                total = np.bincount(owner, minlength=j - i)
+                cols = [set_ids(h, owner, j - i), total]
+                cols += [majority(votes(mix(h, x + 1), owner, j - i), total).view(np.int64) for x in range(words)]
+                for x, c in zip(out, cols):
+                    x.append(c)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.concatenate(x)) for x in out]], names=names)
+
+    return arrow_rows(pick(docs, key, text)).mapInArrow(rows, schema)
+
+
 # ---- keys
 
 
@@ -344,6 +390,91 @@ def link(fps: DataFrame, masks: list[list[int]], radius: int, words: int) -> Dat
     return dealt.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(compare, "a bigint, b bigint")
 
 
+# ---- exact comparison
+
+
+def similar(h: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (index, root index) of the pairs of sets of this Jaccard similarity or more.
+
+    h: the hashes of all sets, one set after another; size: of each. Every pair is compared, but those that their
+    sizes rule out and those that other pairs have joined already.
+    """
+    n = len(size)
+    union, order = _Union(n), np.argsort(size, kind="stable")
+    begin, size = (np.cumsum(size) - size)[order], size[order]
+    number = np.unique(h, return_inverse=True)[1]
+    mark = np.zeros(int(number.max(initial=-1)) + 1, bool)
+    last = np.searchsorted(size, size / similarity + 1e-9, "right")
+    for i in range(n - 1):
+        if not size[i]:
+            continue
+        other = i + 1 + np.flatnonzero(union.to[i + 1 : last[i]] != union.to[i])
+        if not len(other):
+            continue
+        own, k = number[begin[i] : begin[i] + size[i]], size[other]
+        mark[own] = True
+        first = np.cumsum(k) - k
+        common = np.add.reduceat(mark[number[np.repeat(begin[other] - first, k) + np.arange(k.sum())]], first, dtype=np.int64)
+        mark[own] = False
+        near = other[common + 1e-9 >= similarity * (size[i] + k - common)]
+        union.join(np.full(len(near), i), near)
+    moved = np.flatnonzero(union.to != np.arange(n))
+    return order[moved], order[union.to[moved]]
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the ids of texts whose shingle sets have the similarity, among those that `pairs` connect.
+
+    nodes: (id, n, least), least being the key of one of the texts of this set. All pairs within a component of `pairs`
+    are compared, which are more than the pairs themselves; a large component is dealt out in pairs of blocks.
+    """
+    root = components(pairs, "near-rough").withColumnRenamed("node", "id")
+    held = stored(nodes.join(root.hint("merge"), "id").select("id", "n", "least", "root"), "near-held")
+    large = (
+        held.groupBy("root")
+        .agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+        .select("root", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    )
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least(own, j), F.greatest(own, j)))
+    dealt = held.join(large.hint("merge"), "root").select("id", pair.alias("groups"))
+    wanted = held.select(F.col("least").alias(key)).distinct()
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            data, offs = binary_parts(batch.column(0))
+            for i, j in slices(offs):
+                h, owner = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
+                ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=j - i))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(set_ids(h, owner, j - i)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["id", "s"]
+                )
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                ids, all_ = np.array(list(held), np.int64), list(held.values())
+                a, b = similar(np.concatenate(all_), np.array([len(x) for x in all_]), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+        for batch in it:
+            s = batch.column(1)
+            values, offs = np.asarray(s.values), np.asarray(s.offsets)
+            for k, x, i, j in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
+                if k != group:
+                    yield from done()
+                    group, held = k, {}
+                held[x] = values[i:j].copy()  # of rows that repeat a set, one
+        yield from done()
+
+    texts = pick(docs, key, text).join(wanted.hint("merge"), key, "left_semi").select(text)
+    rows = arrow_rows(texts).mapInArrow(sets, "id bigint, s array<bigint>").join(dealt.hint("merge"), "id").select("id", "s", F.explode("groups").alias("k"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(compare, "a bigint, b bigint")
+
+
 # ---- operators
 
 
@@ -375,22 +506,25 @@ def near_duplicates(
     words: int = 4,
     recall: float = 0.95,
 ) -> DataFrame:
-    """(key, component_id) by fingerprints of 64 * words bits over five-word shingles.
+    """(key, component_id): texts linked by this Jaccard similarity of their five-word shingles or more, with the least
+    key of the component.
 
-    The radius is the number of bits at which two texts of this shingle similarity differ on average, and half a
-    standard deviation more, as missing a copy is worse than taking one just below the similarity. Blocks can't
-    select at such a radius, so keys are drawn bits: pairs at the threshold meet with chance recall, closer ones with
-    more. Exact copies share a fingerprint and never need to meet.
+    Candidates are found by fingerprints of 64 * words bits of the sets. The radius is the number of bits at which two
+    texts of this similarity differ on average, and half a standard deviation more. Blocks can't select at such a
+    radius, so keys are drawn bits: pairs at the threshold meet with chance recall, closer ones with more. No link
+    counts before the sets themselves are compared. Equal sets are one node and never need to meet.
     """
     names = [f"w{i}" for i in range(words)]
-    fp = stored(fingerprints(docs, key, text, shingle=shingle, words=words, exact=False), "near-fp")
-    nodes = stored(fp.groupBy(*names).agg(F.min(key).alias("id")), "near-nodes")
+    fp = stored(set_fingerprints(docs, key, text, shingle, words), "near-fp")
+    nodes = stored(fp.groupBy("id", "n", *names).agg(F.min(key).alias("least")), "near-nodes")
     bits, differ = 64 * words, 1 - agreement(similarity)
     radius = round(bits * differ + 0.5 * math.sqrt(bits * differ * (1 - differ)))
     pairs = link(nodes.select("id", *names), sampled_masks(nodes.count(), 64 * words, similarity, recall), radius, words)
-    root = components(pairs, "near-cc")
-    named = nodes.join(root, nodes.id == root.node, "left").select(*names, F.coalesce("root", "id").alias("component_id"))
-    return fp.join(named, names).select(key, "component_id")
+    root = components(verified(docs, nodes.select("id", "n", "least"), pairs, key, text, shingle, similarity), "near-cc")
+    rooted = stored(nodes.join(root.hint("merge"), nodes.id == root.node, "left").select("id", "least", F.coalesce("root", "id").alias("root")), "near-rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least.hint("merge"), "root").select("id", "component_id")
+    return fp.select(key, "id").join(named.hint("merge"), "id").select(key, "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -117,6 +117,64 @@ def test_near_duplicates_finds_edited_copies(spark):
     assert {r[0]: r[1] for r in S.near_duplicates(df, recall=0.99).collect()} == want
 
 
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, w, share):
+    """w with a passage rewritten, so that the share of the five-word shingles of both that is common is about this."""
+    n = len(w) - 4
+    k = max(1, round(n - 2 * share * n / (1 + share)) - 4)
+    at = int(rng.integers(0, len(w) - k))
+    return w[:at] + [f"n{x}" for x in rng.integers(0, 10**9, k)] + w[at + k :]
+
+
+def test_near_duplicates_below_the_similarity_stay(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        w = [f"v{x}" for x in rng.integers(0, 5000, 250)]
+        for _ in range(3):  # a chain, each step at about 0.75
+            rows.append((len(rows), " ".join(w)))
+            w = edited(rng, w, 0.75)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(jaccard(shingle_set(rows[i][1]), shingle_set(rows[i + 1][1])) < 0.8 for i in range(len(rows) - 1))
+    assert {r[0]: r[1] for r in S.near_duplicates(df).collect()} == {i: i for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("n", [2, 40, 120])
+def test_similar_sets_are_all_found(n):
+    rng = np.random.default_rng(n)
+    base = [rng.choice(10**6, 50, replace=False) for _ in range(4)]
+    sets = []
+    for _ in range(n):
+        s = base[rng.integers(0, 4)].copy()
+        at = rng.choice(50, int(rng.integers(0, 14)), replace=False)
+        s[at] = rng.integers(10**6, 10**7, len(at))
+        sets.append(np.unique(s[: int(rng.integers(40, 51))]))
+    sets += [np.zeros(0, np.int64), base[0]]
+    a, b = S.similar(np.concatenate(sets).astype(np.uint64), np.array([len(s) for s in sets]), 0.8)
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
+    for edges, others in (((a, b), want), (tuple(zip(*want)) or ((), ()), list(zip(a.tolist(), b.tolist())))):
+        u = S._Union(len(sets))
+        u.join(np.array(edges[0], int), np.array(edges[1], int))
+        assert all(u.to[i] == u.to[j] for i, j in others)
+
+
+def test_large_components_are_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    w = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+    rows = [(i, " ".join(edited(rng, w, 0.95))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "BLOCK_TEXTS", 16)
+    assert {r[1] for r in S.near_duplicates(df).collect()} == {0}
+
+
 def test_result_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i, " ".join(f"w{(i // 3 + j) % 50}" for j in range(30))) for i in range(90)], "doc_id long, text string")
     a = {tuple(r) for r in S.simhash_components(df.repartition(1)).collect()}
