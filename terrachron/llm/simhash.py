@@ -5,8 +5,8 @@ bit planes; one pass over the planes updates the distances of 64 pairs a word in
 which every pair is beyond the radius are abandoned. Connected components join the links.
 
 Two ways to make keys: `block_masks` cuts the bits in m blocks and keeps every choice of m - radius blocks, so each
-pair within the radius shares a key (no link is lost); `sampled_masks` draws bits at random, for radii at which
-blocks no longer select, with a known chance to meet.
+pair within the radius shares a key (no link is lost). At radii at which blocks no longer select, the keys are the
+least hashes of a text's shingles, so many that similar sets have one in common (`set_fingerprints`).
 
 Links at such a radius are candidates only: `verified` compares the shingle sets of linked texts themselves.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -133,23 +134,32 @@ def set_ids(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def set_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, words: int) -> DataFrame:
-    """(key, id, n, w0 .. w{words-1}): name, size and fingerprint of each whole text's set of shingles."""
-    schema = f"`{key}` bigint, id bigint, n bigint, " + ", ".join(f"w{i} bigint" for i in range(words))
-    names = [key, "id", "n", *(f"w{i}" for i in range(words))]
+def set_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, words: int, similarity: float) -> DataFrame:
+    """(key, id, n, w0 .. w{words-1}, least): name, size, fingerprint and least hashes of each text's set of shingles.
+
+    Two sets of n hashes or more with the similarity have similarity * n in common, so the least hash of those is among
+    the least n - similarity * n + 1 of either set: no pair of that similarity is without a common one.
+    """
+    schema = f"`{key}` bigint, id bigint, n bigint, " + ", ".join(f"w{i} bigint" for i in range(words)) + ", least array<bigint>"
+    names = [key, "id", "n", *(f"w{i}" for i in range(words)), "least"]
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offs = binary_parts(batch.column(1))
-            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(words + 2)]
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(words + 4)]
             for i, j in slices(offs):
                 h, owner = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
                 total = np.bincount(owner, minlength=j - i)
                 cols = [set_ids(h, owner, j - i), total]
                 cols += [majority(votes(mix(h, x + 1), owner, j - i), total).view(np.int64) for x in range(words)]
+                some = np.where(total > 0, total - np.ceil(similarity * total - 1e-9).astype(np.int64) + 1, 0)
+                early = np.arange(len(h)) - (np.cumsum(total) - total)[owner] < some[owner]
+                cols += [some, h[early].view(np.int64)]
                 for x, c in zip(out, cols):
                     x.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.concatenate(x)) for x in out]], names=names)
+            *flat, some, hashes = [np.concatenate(x) for x in out]
+            least = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some)].astype(np.int32)), pa.array(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, flat), least], names=names)
 
     return arrow_rows(pick(docs, key, text)).mapInArrow(rows, schema)
 
@@ -169,15 +179,6 @@ def block_masks(n: int, radius: int, bits: int = 64) -> list[list[int]]:
     return [_split(sum(block[i] for i in c), bits) for c in itertools.combinations(range(m), m - radius)]
 
 
-def sampled_masks(n: int, bits: int, similarity: float, recall: float, seed: int = 7) -> list[list[int]]:
-    """Masks of drawn bits: as many bits as n fingerprints need to be told apart, as many masks as the recall needs."""
-    take = max(12, math.ceil(math.log2(max(2, n))))
-    meet = agreement(similarity) ** take
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - meet))
-    rng = np.random.default_rng(seed)
-    return [_split(sum(1 << int(b) for b in rng.choice(bits, take, replace=False)), bits) for _ in range(tables)]
-
-
 def agreement(similarity: float) -> float:
     """Chance that a bit agrees, for two shingle sets of like size and this Jaccard similarity."""
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -337,7 +338,12 @@ def link(fps: DataFrame, masks: list[list[int]], radius: int, words: int) -> Dat
     keys = F.array(
         *[F.xxhash64(F.lit(t), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(names, mask)]) for t, mask in enumerate(masks)]
     )
-    rows = fps.select("id", *names, F.explode(keys).alias("k"))
+    return meet(fps.select("id", *names, F.explode(keys).alias("k")), radius, words)
+
+
+def meet(rows: DataFrame, radius: int, words: int) -> DataFrame:
+    """The links of `link` for rows (id, w0 .., k) of fingerprints and their keys."""
+    names = [f"w{i}" for i in range(words)]
     share = 64
     hot = (
         rows.where(F.pmod(F.xxhash64("id", F.lit(share)), F.lit(share)) == 0)
@@ -386,7 +392,7 @@ def link(fps: DataFrame, masks: list[list[int]], radius: int, words: int) -> Dat
         if held is not None and (out := done(held)) is not None:
             yield out
 
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(compare, "a bigint, b bigint")
 
 
@@ -504,23 +510,24 @@ def near_duplicates(
     shingle: int = 5,
     similarity: float = 0.8,
     words: int = 4,
-    recall: float = 0.95,
+    recall: float = 0.99999,
 ) -> DataFrame:
     """(key, component_id): texts linked by this Jaccard similarity of their five-word shingles or more, with the least
     key of the component.
 
-    Candidates are found by fingerprints of 64 * words bits of the sets. The radius is the number of bits at which two
-    texts of this similarity differ on average, and half a standard deviation more. Blocks can't select at such a
-    radius, so keys are drawn bits: pairs at the threshold meet with chance recall, closer ones with more. No link
-    counts before the sets themselves are compared. Equal sets are one node and never need to meet.
+    Texts meet by the least hashes of their sets, which loses no pair, and those that meet are compared by fingerprints
+    of 64 * words bits. The radius is so far above the number of bits at which two texts of this similarity differ on
+    average that a pair at the similarity is within it with chance recall, a closer one with more. No link counts
+    before the sets themselves are compared. Equal sets are one node and never need to meet.
     """
     names = [f"w{i}" for i in range(words)]
-    fp = stored(set_fingerprints(docs, key, text, shingle, words), "near-fp")
-    nodes = stored(fp.groupBy("id", "n", *names).agg(F.min(key).alias("least")), "near-nodes")
+    fp = stored(set_fingerprints(docs, key, text, shingle, words, similarity), "near-fp")
+    nodes = stored(fp.groupBy("id", "n", *names).agg(F.first("least").alias("keys"), F.min(key).alias("least")), "near-nodes")
     bits, differ = 64 * words, 1 - agreement(similarity)
-    radius = round(bits * differ + 0.5 * math.sqrt(bits * differ * (1 - differ)))
-    pairs = link(nodes.select("id", *names), sampled_masks(nodes.count(), 64 * words, similarity, recall), radius, words)
-    root = components(verified(docs, nodes.select("id", "n", "least"), pairs, key, text, shingle, similarity), "near-cc")
+    radius = round(bits * differ + NormalDist().inv_cdf(recall) * math.sqrt(bits * differ * (1 - differ)))
+    pairs = meet(nodes.select("id", *names, F.explode("keys").alias("k")), radius, words)
+    nodes = nodes.select("id", "n", "least")
+    root = components(verified(docs, nodes, pairs, key, text, shingle, similarity), "near-cc")
     rooted = stored(nodes.join(root.hint("merge"), nodes.id == root.node, "left").select("id", "least", F.coalesce("root", "id").alias("root")), "near-rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least.hint("merge"), "root").select("id", "component_id")

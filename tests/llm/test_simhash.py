@@ -147,6 +147,19 @@ def test_near_duplicates_below_the_similarity_stay(spark):
     assert {r[0]: r[1] for r in S.near_duplicates(df).collect()} == {i: i for i in range(len(rows))}
 
 
+def test_near_duplicates_at_the_similarity_are_found(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    while len(rows) < 1200:
+        w = [f"v{x}" for x in rng.integers(0, 10**6, int(rng.choice([12, 40, 120, 300])))]
+        e = edited(rng, w, rng.uniform(0.8, 0.85))
+        if jaccard(*(shingle_set(" ".join(x)) for x in (w, e))) >= 0.8:
+            want |= {len(rows): len(rows), len(rows) + 1: len(rows)}
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(e))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: r[1] for r in S.near_duplicates(df).collect()} == want
+
+
 @pytest.mark.parametrize("n", [2, 40, 120])
 def test_similar_sets_are_all_found(n):
     rng = np.random.default_rng(n)
