@@ -99,11 +99,29 @@ def _refill(form: Column, chars: Column, cls: str) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def valid(d: Column) -> Column:
+    """The longest run of whole groups of digits that validates, the first among equals: an expiry date, a code or a
+    count may stand beside a card. The rest of the match stays."""
+
+    def valid(form: Column, d: Column) -> Column:
         body = feistel(F.substring(d, F.lit(1), F.length(d) - 1), DIGITS, key, "card")
-        return let(body, lambda b: _refill(m, F.concat(b, ((10 - _luhn_sum(b, True) % 10) % 10).cast("string")), "[0-9]"))
+        return let(body, lambda b: _refill(form, F.concat(b, ((10 - _luhn_sum(b, True) % 10) % 10).cast("string")), "[0-9]"))
+
+    def runs(g: Column) -> Column:
+        run = lambda i, j: let(F.array_join(F.slice(g, i, j - i + 1), ""), lambda d: F.struct((-F.length(d)).alias("n"), i.alias("i"), j.alias("j"), d.alias("d")))
+        each = F.flatten(F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.transform(F.sequence(i, F.size(g)), lambda j: run(i, j))))
+        return F.filter(each, lambda r: F.when(r["n"].between(-19, -13), _luhn_sum(r["d"], False) % 10 == 0).otherwise(False))
+
+    def place(g: Column, r: Column) -> Column:
+        before = F.length(F.array_join(F.slice(g, F.lit(1), r["i"] - 1), " ")) + F.when(r["i"] > 1, 1).otherwise(0)
+        return F.struct(before.alias("at"), F.length(F.array_join(F.slice(g, r["i"], r["j"] - r["i"] + 1), " ")).alias("n"))
+
+    def put(r: Column, p: Column) -> Column:
+        return F.concat(F.substring(m, F.lit(1), p["at"]), valid(F.substring(m, p["at"] + 1, p["n"]), r["d"]), F.substring(m, p["at"] + p["n"] + 1, F.length(m)))
+
+    def best(g: Column) -> Column:
+        return let(F.array_min(runs(g)), lambda r: F.when(r.isNull(), m).otherwise(let(place(g, r), lambda p: put(r, p))))
 
-    return let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.when(_luhn_sum(d, False) % 10 == 0, valid(d)).otherwise(m))
+    return let(F.split(m, "[ -]"), best)
 
 
 def _digits(m: Column, key: str) -> Column:

@@ -200,6 +200,20 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pii.pseudonymise(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_cards_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    forms = [("pay {} 12/25", card), ("{} 123 cvv", card.replace(" ", "")), ("{} 9", card.replace(" ", "-")), ("2 {}", card), ("7 {} 12", card), ("{}", card)]
+    texts = [f.format(c) for f, c in forms] + ["4111 1111 1111 1112 12/25", "4222222222222 12 34"]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, texts)).collect()}
+    numbers = set()
+    for i, (f, c) in enumerate(forms):
+        new = re.fullmatch(re.escape(f).replace(r"\{\}", "([0-9 -]{%d})" % len(c)), got[i]["text"]).group(1)
+        assert new != c and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", c) and got[i]["n_replaced"] == 1
+        numbers.add(re.sub(r"\D", "", new))
+    assert len(numbers) == 1 and luhn(numbers.pop())
+    assert got[6]["text"] == texts[6] and got[7]["text"].endswith(" 12 34") and "4222222222222" not in got[7]["text"]
+
+
 def test_feistel_is_a_permutation(spark):
     for n in (1, 2, 3):
         df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("s"))
