@@ -20,7 +20,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Labelled URLs that the trees are trained on, drawn by a hash of the URL.
+#: Labelled URLs that the trees are trained on, drawn by a hash of the row's key and URL. The suffixes' statistics are
+#: over all labelled URLs.
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 20, 4
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_marks", "suffix_rate", "suffix_seen")
@@ -49,6 +50,11 @@ def with_rules(urls: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
+def suffix_of(host: str) -> Column:
+    """The last two labels of the host."""
+    return F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1)
+
+
 def lexical(rows: DataFrame, url: str = "url") -> DataFrame:
     """The features that need no statistics, and the host's suffix (its last two labels)."""
     u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
@@ -73,7 +79,7 @@ def lexical(rows: DataFrame, url: str = "url") -> DataFrame:
         .withColumn("n_params", F.when(query == "", 0.0).otherwise((F.length(query) - F.length(F.replace(query, F.lit("&"), F.lit(""))) + 1).cast("double")))
         .withColumn("n_labels", F.size(F.split("host", r"\.")).cast("double"))
         .withColumn("n_marks", F.length(F.regexp_replace(u, r"[^\-_%~=.]", "")).cast("double"))
-        .withColumn("suffix", F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1))
+        .withColumn("suffix", suffix_of("host"))
     )
 
 
@@ -90,24 +96,25 @@ def judge(urls: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
     if len(by) < 2:
         return base.select(*out, F.coalesce("ruled", F.lit(next(iter(by), "allow"))).alias("verdict"))
     n = sum(by.values())
-    draw = F.pmod(F.xxhash64(F.col(f"`{url}`"), F.lit(5)), F.lit(1 << 20)) < int(min(1.0, rows / n) * (1 << 20))
-    learn = stored(lexical(named.where(draw), url).withColumn("label", (F.col("ruled") == "block").cast("double")), "url-learn")
-    # block rate of each suffix over the drawn rows: no more suffixes than drawn rows
-    rate = stored(learn.groupBy("suffix").agg(F.sum("label").alias("b"), F.count(F.lit(1)).cast("double").alias("m")), "url-suffix")
-    size, blocked = (float(x or 0) for x in learn.agg(F.count(F.lit(1)), F.sum("label")).first())
-    if not 0 < blocked < size:
-        return base.select(*out, F.coalesce("ruled", F.lit("block" if blocked else "allow")).alias("verdict"))
-    prior = blocked / size
+    draw = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{url}`"), F.lit(5)), F.lit(1 << 20)) / (1 << 20) < min(1.0, rows / n)
+    label = (F.col("ruled") == "block").cast("double")
+    # block rate of each suffix over all labelled rows: as many as there are suffixes, so never broadcast
+    rate = stored(named.select(suffix_of("host").alias("suffix"), label.alias("label")).groupBy("suffix").agg(F.sum("label").alias("b"), F.count(F.lit(1)).cast("double").alias("m")), "url-suffix")
+    prior = by["block"] / n
 
     def full(df: DataFrame, own: bool) -> DataFrame:
-        got = df.join(F.broadcast(rate), "suffix", "left")
+        got = df.join(rate.hint("merge"), "suffix", "left")
         b, m = F.coalesce("b", F.lit(0.0)), F.coalesce("m", F.lit(0.0))
         if own:  # a row's own label isn't part of its statistics
             b, m = b - F.col("label"), m - 1
         return got.withColumn("suffix_rate", (b + 4 * prior) / (m + 4)).withColumn("suffix_seen", F.log1p(F.greatest(m, F.lit(0.0))))
 
+    learn = stored(full(lexical(named.where(draw), url).withColumn("label", label), True).select(*FEATURES, "label"), "url-learn")
+    size, blocked = (float(x or 0) for x in learn.agg(F.count(F.lit(1)), F.sum("label")).first())
+    if not 0 < blocked < size:
+        return base.select(*out, F.coalesce("ruled", F.lit("block" if blocked else "allow")).alias("verdict"))
     parts = 4
-    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full(learn, True)).select("features", "label").coalesce(parts)
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learn).select("features", "label").coalesce(parts)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=17, stepSize=0.2).fit(train)
     told = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full(lexical(base, url), False)))
     return told.select(*out, F.coalesce("ruled", F.when(F.col("prediction") >= 0.5, "block").otherwise("allow")).alias("verdict"))

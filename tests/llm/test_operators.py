@@ -354,6 +354,24 @@ def test_url_trees_learn(spark):
     assert sum(got[5000 + i] == "block" for i in range(30)) >= 25 and sum(got[6000 + i] == "allow" for i in range(30)) >= 25
 
 
+def test_suffix_statistics_cover_all_labels(spark):
+    rules = (("block", "com", "/a/"), ("allow", "com", "/b/"))
+    rows = [(i, f"http://h{i % 10}.s{100 + i // 10}.com/{'ab'[i // 10 % 2]}/{1000 + i}") for i in range(3000)]
+    rows += [(10000 + s, f"http://h5.s{100 + s}.com/c/{1000 + s}") for s in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(df, rules=rules, rows=400).collect()}
+    assert [got[10000 + s] for s in range(300)] == ["block", "allow"] * 150
+
+
+def test_training_rows_of_one_url_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(urlfilter, "stored", lambda df, tag, f=urlfilter.stored: seen.append((tag, f(df, tag))) or seen[-1][1])
+    rows = [(i, "http://h.com/en/x") for i in range(2000)] + [(5000 + i, f"http://k{i}.net/de/abc") for i in range(2000)]
+    urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rows=400)
+    learn = {r[0]: r[1] for r in dict(seen)["url-learn"].groupBy("label").count().collect()}
+    assert all(130 < learn.get(x, 0) < 270 for x in (0.0, 1.0))
+
+
 def test_entropy(spark):
     texts = ["aab", "abcd", "", "zzzz"]
     df = spark.createDataFrame([(t, "h", "p") for t in texts], "url string, host string, path string")
