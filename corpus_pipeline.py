@@ -43,17 +43,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates the row with the least key; of rows that repeat that key, one."""
-    keyed = docs.withColumn("_key", row_key(docs))
-    found = simhash.near_duplicates(keyed.select("_key", "text"), "_key", "text")
-    first = stored(found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("component_id").alias("_c")).where("_key = _c").select("_key", "_n"), "dedup-first")
-    kept = keyed.join(first.hint("merge"), "_key")  # the kept keys grow with the corpus: never broadcast
+    """Keeps of each component of near-duplicates the row with the least key; of rows that repeat a key and its text,
+    one."""
+    keyed = docs.withColumn("_key", row_key(docs)).withColumn("_row", F.xxhash64("_key", F.coalesce("text", F.lit(""))))
+    found = simhash.near_duplicates(keyed.select("_row", "text"), "_row", "text").groupBy("_row").agg(F.min("component_id").alias("_c"))
+    rows = keyed.groupBy("_row").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n"))
+    least = rows.join(found.hint("merge"), "_row").groupBy("_c").agg(F.min(F.struct("_key", "_row", "_n")).alias("_f"))
+    first = stored(least.select("_f._row", "_f._n"), "dedup-first")
+    kept = keyed.join(first.hint("merge"), "_row").drop("_key")  # the kept rows grow with the corpus: never broadcast
     once = kept.where("_n = 1").select(*docs.columns)
     again = kept.where("_n > 1")
-    if again.select("_key").isEmpty():
+    if again.select("_row").isEmpty():
         return once
     columns = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return once.unionByName(again.groupBy("_key").agg(*columns).drop("_key"))
+    return once.unionByName(again.groupBy("_row").agg(*columns).drop("_row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

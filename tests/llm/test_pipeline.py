@@ -40,6 +40,15 @@ def test_stages_keep_and_drop(spark, tmp_path):
     assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == {r["doc_id"] for r in e.collect()}
 
 
+def test_repeated_ids_keep_their_texts(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    t = [" ".join(f"v{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(5)]
+    rows = [(1, t[0]), (1, t[1]), (1, t[1]), (2, t[1]), (3, t[2]), (None, t[3]), (None, t[4]), (0, t[2])]
+    docs = spark.createDataFrame([(i, x, "aa", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert len(got) == 5 and set(got) == {(1, t[0]), (1, t[1]), (0, t[2]), (None, t[3]), (None, t[4])}
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
