@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     add("bfast-monitor", "breaks in a monitoring period", **grid, monitor_start=0.0, h=0.25, period=10, alpha=0.05, min_valid=10)
     add("bfast-lite", "optimal partition", **grid, h=0.15, max_breaks=5, min_valid=20)
     add("bfast", "breaks in trend and season", **grid, h=0.15, max_breaks_trend=5, max_breaks_season=5, max_iter=10, level=0.05, min_valid=20)
-    add("mann-kendall", "trend tests", method="hamed_rao", period=12, min_valid=4)
+    add("mann-kendall", "trend tests", method="hamed_rao", alpha=0.05, lag=-1, period=1, min_valid=4)
     add("mmu-filter", "drop small patches of a raster", mmu_pixels=11, nodata=0.0)
     return p
 
@@ -46,7 +46,8 @@ def plan(df: DataFrame, a: argparse.Namespace) -> DataFrame:
     if a.command == "mann-kendall":
         from .operators.trend import mann_kendall
 
-        return mann_kendall(df, **o)
+        lag = o.pop("lag")
+        return mann_kendall(df, **o, lag=None if lag < 0 else lag)
     if a.command == "mmu-filter":
         from .operators.spatial import minimum_mapping_unit
 

@@ -1,155 +1,139 @@
 """Mann-Kendall trend tests and Theil-Sen slopes (Mann 1945, Kendall 1975, Sen 1968; Hamed and Rao 1998; Yue and Wang
 2004; Hirsch and others 1982 for seasons).
 
-A pixel's series is one row; pairs are formed in the row by higher-order functions, so the assembly of the series is
-the only shuffle. Gaps keep their index: slopes are per step of the grid.
+A pixel's series is one row, so its assembly is the only shuffle. The tests are an Arrow kernel: pixels with the same
+number of observations are worked on together, pairs, ranks and lags as arrays over all of them. Gaps keep their index:
+slopes are per step of the grid.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import math
+from statistics import NormalDist
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import run_kernel
 from ..sources.cubes import ANNUAL, MONTHLY, SPARSE, annual, monthly, r4, sql4, to_series
 
 #: Two-sided 5 %.
 Z = 1.959963984540054
-
-
-def _pairs(p: Column, f) -> Column:
-    """f(earlier, later) of all pairs of an array of structs (i, v)."""
-    return F.flatten(F.transform(p, lambda a, k: F.transform(F.slice(p, k + 2, F.greatest(F.size(p) - k - 1, F.lit(0))), lambda b: f(a, b))))
-
-
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-
-def median_of(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2.0)
-
-
-def _ties(v: Column) -> Column:
-    """Sum of t(t-1)(2t+5) over groups of equal values: each member adds (t-1)(2t+5)."""
-    return _total(
-        F.transform(
-            v, lambda x: F.aggregate(v, F.lit(0.0), lambda s, y: s + F.when(x == y, 1.0).otherwise(0.0), lambda t: (t - 1.0) * (2.0 * t + 5.0))
-        )
-    )
-
-
-def _z(s: Column, var: Column) -> Column:
-    return F.when((s > 0) & (var > 0), (s - 1) / F.sqrt(var)).when((s < 0) & (var > 0), (s + 1) / F.sqrt(var)).otherwise(0.0)
-
-
-def _score(a, b) -> Column:
-    return F.signum(b["v"] - a["v"])
-
-
-def _base(series: DataFrame, min_valid: int) -> DataFrame:
-    p = F.filter(F.zip_with("ts", "vs", lambda i, v: F.struct(i.cast("double").alias("i"), v.alias("v"))), lambda x: x["v"].isNotNull())
-    df = series.select("pixel", F.element_at("ts", 1).cast("double").alias("t0"), p.alias("p"))
-    # a grid that starts at t0 counts its steps from 0
-    df = df.withColumn("p", F.transform("p", lambda x: F.struct((x["i"] - F.col("t0")).alias("i"), x["v"].alias("v")))).where(F.size("p") >= min_valid)
-    v = F.transform("p", lambda x: x["v"])
-    n = F.size("p").cast("double")
-    df = df.select("pixel", "p", n.alias("n"), _total(_pairs(F.col("p"), _score)).alias("s"), ((n * (n - 1) * (2 * n + 5) - _ties(v)) / 18.0).alias("var"), median_of(_pairs(F.col("p"), lambda a, b: (b["v"] - a["v"]) / (b["i"] - a["i"]))).alias("slope"))
-    return df.withColumn("intercept", median_of(F.transform("p", lambda x: x["v"])) - median_of(F.transform("p", lambda x: x["i"])) * F.col("slope"))
-
-
-def _finish(df: DataFrame, z_alpha: float) -> DataFrame:
-    df = df.withColumn("z", _z(F.col("s"), F.col("var_s")))
-    h = F.abs("z") > z_alpha
-    return df.select(
-        "pixel",
-        F.when(h, F.signum("z").cast("int")).otherwise(0).alias("trend"),
-        h.cast("int").alias("h"),
-        "z",
-        "tau",
-        "s",
-        "var_s",
-        "slope",
-        "intercept",
-    )
-
-
-def mann_kendall(series: DataFrame, method: str = "original", *, period: int = 12, min_valid: int = 4, z_alpha: float = Z, with_p: bool = False) -> DataFrame:
-    """(pixel, trend, h, z, tau, s, var_s, slope, intercept[, p]) for pixels with min_valid observations or more.
-
-    method: original, hamed_rao, yue_wang or seasonal. with_p adds the two-sided p-value, which needs the normal
-    distribution and so an Arrow function; h needs none.
-    """
-    if method == "seasonal":
-        out = _finish(_seasonal(series, period, min_valid), z_alpha)
-    else:
-        df = _base(series, min_valid).withColumn("tau", F.col("s") / (F.col("n") * (F.col("n") - 1) / 2.0))
-        if method == "original":
-            out = _finish(df.withColumnRenamed("var", "var_s"), z_alpha)
-        elif method in ("hamed_rao", "yue_wang"):
-            out = _finish(_corrected(df, method, z_alpha), z_alpha)
+METHODS = ("original", "hamed_rao", "yue_wang", "seasonal")
+METRICS = ("p", "z", "tau", "s", "var_s", "slope", "intercept")
+#: Pairs of observations held at a time.
+PAIRS = 2_000_000
+
+
+def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Average ranks (from 1) of each row's values and the sizes of the runs of equal values that they are in."""
+    order = np.argsort(v, axis=1, kind="stable")
+    w = np.take_along_axis(v, order, axis=1)
+    k = np.arange(v.shape[1])
+    new = np.concatenate([np.ones((len(v), 1), bool), w[:, 1:] != w[:, :-1]], axis=1)
+    first = np.maximum.accumulate(np.where(new, k, 0), axis=1)
+    end = np.concatenate([new[:, 1:], np.ones((len(v), 1), bool)], axis=1)
+    last = np.minimum.accumulate(np.where(end, k, len(k))[:, ::-1], axis=1)[:, ::-1]
+    ranks, size = np.empty(v.shape), np.empty(v.shape)
+    np.put_along_axis(ranks, order, (first + last) / 2 + 1, axis=1)
+    np.put_along_axis(size, order, last - first + 1.0, axis=1)
+    return ranks, size
+
+
+def _variance(n: np.ndarray | int, size: np.ndarray) -> np.ndarray:
+    """Variance of the score of n values whose runs of equals have these sizes (0: no value): each of the t members of a
+    run takes (t - 1)(2t + 5) off."""
+    return (n * (n - 1.0) * (2 * n + 5.0) - np.where(size > 0, (size - 1) * (2 * size + 5), 0).sum(axis=-1)) / 18
+
+
+def _median(a: np.ndarray) -> np.ndarray:
+    """Medians of rows; NaN is left out, nothing gives NaN."""
+    a = np.sort(a, axis=1)
+    n = (~np.isnan(a)).sum(axis=1)
+    at = lambda k: np.take_along_axis(a, np.maximum(k, 0)[:, None], axis=1)[:, 0] if a.shape[1] else np.full(len(a), np.nan)
+    return (at((n - 1) // 2) + at(n // 2)) / 2
+
+
+def _correction(v: np.ndarray, slope: np.ndarray, method: str, z_alpha: float, lag: int | None) -> np.ndarray:
+    """Factor of the variance for the autocorrelation of the detrended values or, for hamed_rao, of their ranks."""
+    n = v.shape[1]
+    d = v - np.arange(1, n + 1) * slope[:, None]
+    y = _runs(d)[0] if method == "hamed_rao" else d
+    y = y - y.mean(axis=1, keepdims=True)
+    power = (y * y).sum(axis=1)
+    factor = np.zeros(len(v))
+    for k in range(1, min(n - 1, n - 1 if lag is None else lag) + 1):
+        r = (y[:, :-k] * y[:, k:]).sum(axis=1) / np.where(power > 0, power, 1)
+        if method == "hamed_rao":
+            factor += np.where(np.abs(r) > z_alpha / math.sqrt(n), (n - k) * (n - k - 1.0) * (n - k - 2) * r, 0) / (n * (n - 1.0) * (n - 2))
         else:
-            raise ValueError(f"unknown method {method!r}")
-    return out.withColumn("p", _p_value(F.col("z"))) if with_p else out
-
-
-def _p_value(z: Column) -> Column:
-    @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        from math import erfc
-
-        return z.map(lambda x: erfc(abs(x) / 2**0.5))
-
-    return two_sided(z)
-
-
-def _corrected(df: DataFrame, method: str, z_alpha: float) -> DataFrame:
-    """Variance corrected for autocorrelation of the detrended values or, for hamed_rao, of their ranks."""
-    d = F.transform("p", lambda x, k: x["v"] - (k + 1).cast("double") * F.col("slope"))
-    df = df.withColumn("d", d)
-    if method == "hamed_rao":
-        rank = lambda x: F.aggregate("d", F.lit(0.0), lambda s, y: s + F.when(y < x, 1.0).when(y == x, 0.5).otherwise(0.0), lambda s: s + 0.5)
-        df = df.withColumn("d", F.transform("d", rank))
-    df = df.withColumn("y", F.transform("d", lambda x: x - _total(F.col("d")) / F.col("n")))
-    df = df.withColumn("ss", _total(F.transform("y", lambda x: x * x)))
-    lag = lambda k: _total(F.zip_with(F.slice("y", F.lit(1), F.size("y") - k), F.slice("y", k + 1, F.size("y") - k), lambda a, b: a * b)) / F.col("ss")
-    df = df.withColumn("r", F.when(F.col("ss") > 0, F.transform(F.sequence(F.lit(1), F.size("y") - 1), lag)))
-    n = F.col("n")
-    if method == "hamed_rao":
-        limit = F.lit(z_alpha) / F.sqrt(n)
-        each = F.transform("r", lambda r, k: F.when(F.abs(r) > limit, (n - k - 1) * (n - k - 2) * (n - k - 3) * r).otherwise(0.0))
-        factor = 1 + 2.0 / (n * (n - 1) * (n - 2)) * _total(each)
-    else:
-        factor = 1 + 2.0 * _total(F.transform("r", lambda r, k: (1 - (k + 1) / n) * r))
-    return df.withColumn("var_s", F.col("var") * F.coalesce(factor, F.lit(1.0)))
-
-
-def _seasonal(series: DataFrame, period: int, min_valid: int) -> DataFrame:
-    p = F.filter(
-        F.zip_with("ts", "vs", lambda i, v: F.struct((i - F.element_at("ts", 1)).alias("i"), v.alias("v"))), lambda x: x["v"].isNotNull()
-    )
-    df = series.select("pixel", p.alias("p")).where(F.size("p") >= min_valid)
-    own = lambda k: F.filter("p", lambda x: x["i"] % period == k)
-    # year: the row of the season-by-year table
-    seasons = F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda k: F.transform(own(k), lambda x: F.struct((F.floor(x["i"] / period)).cast("double").alias("i"), x["v"].alias("v"))))
-    df = df.withColumn("g", seasons)
-
-    def var(q):
-        n = F.size(q).cast("double")
-        return F.when(n > 1, (n * (n - 1) * (2 * n + 5) - _ties(F.transform(q, lambda x: x["v"]))) / 18.0).otherwise(0.0)
-
-    slopes = F.flatten(F.transform("g", lambda q: _pairs(q, lambda a, b: (b["v"] - a["v"]) / (b["i"] - a["i"]))))
-    df = df.select(
-        "pixel",
-        "p",
-        _total(F.transform("g", lambda q: _total(_pairs(q, _score)))).alias("s"),
-        _total(F.transform("g", var)).alias("var_s"),
-        _total(F.transform("g", lambda q: F.size(q) * (F.size(q) - 1) / 2.0)).alias("pairs"),
-        median_of(slopes).alias("slope"),
-    )
-    level = median_of(F.transform("p", lambda x: x["v"])) - median_of(F.transform("p", lambda x: x["i"].cast("double"))) / period * F.col("slope")
-    return df.withColumn("tau", F.when(F.col("pairs") > 0, F.col("s") / F.col("pairs"))).withColumn("intercept", level)
+            factor += (1 - k / n) * r
+    return np.where(power > 0, 1 + 2 * factor, 1)
+
+
+def _whole(i: np.ndarray, v: np.ndarray, method: str, z_alpha: float, lag: int | None) -> dict[str, np.ndarray]:
+    n = v.shape[1]
+    a, b = np.triu_indices(n, 1)
+    rise = v[:, b] - v[:, a]
+    slope = _median(rise / (i[:, b] - i[:, a]))
+    s = np.sign(rise).sum(axis=1)
+    var = _variance(n, _runs(v)[1])
+    if method != "original":
+        var = var * _correction(v, slope, method, z_alpha, lag)
+    return {"s": s, "var_s": var, "tau": s / (n * (n - 1) / 2), "slope": slope, "intercept": _median(v) - _median(i) * slope}
+
+
+def _seasons(i: np.ndarray, v: np.ndarray, period: int) -> dict[str, np.ndarray]:
+    """Each season on its own, over a table of seasons by cycles; scores, variances and slopes are pooled."""
+    cycles = int(i.max()) // period + 1
+    table = np.full((len(v), period, cycles), np.nan)
+    table[np.arange(len(v))[:, None], (i % period).astype(int), (i // period).astype(int)] = v
+    a, b = np.triu_indices(cycles, 1)
+    rise = table[:, :, b] - table[:, :, a]
+    n = (~np.isnan(table)).sum(axis=2)
+    size = _runs(table.reshape(-1, cycles))[1].reshape(table.shape)  # NaN equals nothing, itself included
+    pairs = (n * (n - 1) / 2).sum(axis=1)
+    s = np.nansum(np.sign(rise), axis=(1, 2))
+    slope = _median((rise / (b - a)).reshape(len(v), -1))
+    var = _variance(n, np.where(np.isnan(table), 0, size)).sum(axis=1)
+    return {"s": s, "var_s": var, "tau": s / np.where(pairs > 0, pairs, np.nan), "slope": slope, "intercept": _median(v) - _median(i) / period * slope}
+
+
+def mann_kendall(series: DataFrame, method: str = "original", *, period: int = 12, min_valid: int = 4, alpha: float = 0.05, lag: int | None = None) -> DataFrame:
+    """(pixel, trend, h, p, z, tau, s, var_s, slope, intercept), one row a pixel.
+
+    method: original, hamed_rao, yue_wang or seasonal. lag: only the first so many lags correct the variance (null: all).
+    Pixels with fewer than min_valid observations have nulls; those with fewer than four have no trend (0, 0) and nulls.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    z_alpha = NormalDist().inv_cdf(1 - alpha / 2)
+
+    def kernel(ts, vs):
+        m = len(vs)
+        out = {c: np.full(m, np.nan) for c in ("trend", "h", *METRICS)}
+        count = (~np.isnan(vs)).sum(axis=1)
+        step = ts - ts[:, :1]
+        for n in np.unique(count[count >= max(min_valid, 1)]):
+            rows = np.flatnonzero(count == n)
+            if n < 4:
+                out["trend"][rows] = out["h"][rows] = 0
+                continue
+            some = max(1, PAIRS // (n * n))
+            for at in (rows[k : k + some] for k in range(0, len(rows), some)):
+                there = ~np.isnan(vs[at])
+                v, i = vs[at][there].reshape(len(at), n), step[at][there].reshape(len(at), n).astype(float)
+                got = _seasons(i, v, period) if method == "seasonal" else _whole(i, v, method, z_alpha, lag)
+                s, var = got["s"], got["var_s"]
+                z = np.where(var > 0, (s - np.sign(s)) / np.sqrt(np.where(var > 0, var, 1)), 0.0)
+                h = np.abs(z) > z_alpha
+                got |= {"z": z, "h": h, "trend": np.where(h, np.sign(z), 0), "p": np.array([math.erfc(abs(x) / math.sqrt(2)) for x in z])}
+                for c, x in got.items():
+                    out[c][at] = x
+        return out
+
+    return run_kernel(series, kernel, "trend int, h int, " + ", ".join(f"{c} double" for c in METRICS))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -177,9 +161,10 @@ def q_seasonal(spark, d):
 
 
 _TAIL = f"""
-SELECT pixel, CASE WHEN abs(z) > {Z} THEN CAST(sign(z) AS INTEGER) ELSE 0 END AS trend, CAST(abs(z) > {Z} AS INTEGER) AS h,
+SELECT pixel, CASE WHEN z IS NULL THEN NULL WHEN abs(z) > {Z} THEN CAST(sign(z) AS INTEGER) ELSE 0 END AS trend, CAST(abs(z) > {Z} AS INTEGER) AS h,
   {sql4("z")} AS z, {sql4("tau")} AS tau, {sql4("s")} AS s, {sql4("var_s")} AS var_s, {sql4("slope")} AS slope, {sql4("intercept")} AS intercept
-FROM (SELECT *, CASE WHEN s > 0 AND var_s > 0 THEN (s - 1) / sqrt(var_s) WHEN s < 0 AND var_s > 0 THEN (s + 1) / sqrt(var_s) ELSE 0.0 END AS z FROM mk)
+FROM (SELECT DISTINCT pixel FROM x) LEFT JOIN
+  (SELECT *, CASE WHEN s > 0 AND var_s > 0 THEN (s - 1) / sqrt(var_s) WHEN s < 0 AND var_s > 0 THEN (s + 1) / sqrt(var_s) ELSE 0.0 END AS z FROM mk) USING (pixel)
 """
 _MK = """
 x AS (SELECT pixel, CAST(t - {first} AS DOUBLE) AS i, v FROM {cube}),

@@ -60,14 +60,34 @@ def spine(obs: DataFrame, first: int, last: int) -> DataFrame:
     return s.select("pixel", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("t"), "m").select("pixel", "t", F.try_element_at("m", F.col("t")).alias("v"))
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with the value worked out once: a name that f uses many times, or in a lambda, would otherwise be put in
+    place of each use by the optimiser."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def to_series(obs: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
-    """series of the pixels; with first and last, on the regular grid between them, gaps null."""
-    s = obs.groupBy("pixel").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
+    """series of the pixels; with first and last, on the regular grid between them, gaps null. The grid is filled in one
+    pass over the sorted observations: each brings the nulls before it. Of observations of one step, the least is taken."""
+    # a fixed number of partitions: by bytes, the many pixels of a costly kernel would be gathered into a few tasks
+    obs = obs.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pixel")
+    s = F.array_sort(F.collect_list(F.struct("t", "v")))
     if first is None:
+        s = obs.groupBy("pixel").agg(s.alias("s"))
         return s.select("pixel", F.transform("s", lambda x: x["t"]).alias("ts"), F.transform("s", lambda x: x["v"]).alias("vs"))
-    grid = F.sequence(F.lit(first), F.lit(last))
-    m = s.select("pixel", F.map_from_entries("s").alias("m"))
-    return m.select("pixel", grid.alias("ts"), F.transform(grid, lambda t: F.try_element_at("m", t)).alias("vs"))
+    kind = obs.schema["v"].dataType
+    gaps = lambda n: F.array_repeat(F.lit(None).cast(kind), F.greatest(n, F.lit(0)).cast("int"))
+
+    def filled(a: Column) -> Column:
+        def part(x: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(a, k - 1)["t"], F.lit(first - 1))
+            return F.when(x["t"] > before, F.concat(gaps(x["t"] - before - 1), F.array(x["v"]))).otherwise(gaps(F.lit(0)))
+
+        return F.concat(F.flatten(F.transform(a, part)), gaps(F.lit(last) - F.coalesce(F.get(a, F.size(a) - 1)["t"], F.lit(first - 1))))
+
+    inside = F.when(F.col("t").between(first, last), F.struct("t", "v"))
+    s = obs.groupBy("pixel").agg(F.array_sort(F.collect_list(inside)).alias("s"))
+    return s.select("pixel", F.sequence(F.lit(first), F.lit(last)).alias("ts"), once(F.col("s"), filled).alias("vs"))
 
 
 def r4(c: Column) -> Column:
