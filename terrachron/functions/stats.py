@@ -121,36 +121,48 @@ def lasso(x: np.ndarray, y: np.ndarray, lam: float, rounds: int = 500, tol: floa
     return np.r_[ym - mean @ b, b]
 
 
-def bounded_fit(f, t: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Levenberg-Marquardt on weighted residuals of f(params, t), parameters held in their bounds by a sine transform."""
+def bounded_fits(f, t: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Levenberg-Marquardt on weighted residuals of many fits at once, parameters held in their bounds by a sine transform.
+
+    t, y, w: (fits, steps); start, low, high: (fits, parameters). f(params, t) gets the parameters as (parameters, fits, 1).
+    Each fit has a damping of its own and leaves the work when a step gains less than a millionth or none helps.
+    """
     span = np.where(high > low, high - low, 1.0)
     u = np.arcsin(np.clip(2 * (np.clip(start, low, high) - low) / span - 1, -0.999999, 0.999999))
-    to = lambda u: low + (np.sin(u) + 1) / 2 * span
-    sw = np.sqrt(w)
-    res = lambda u: sw * (y - f(to(u), t))
+    sw, m = np.sqrt(w), u.shape[1]
+
+    def rest(u, k):
+        p = low[k] + (np.sin(u) + 1) / 2 * span[k]
+        r = sw[k] * (y[k] - f(p.T[:, :, None], t[k]))
+        return np.clip(np.nan_to_num(r, nan=1e6, posinf=1e6, neginf=-1e6), -1e6, 1e6)
+
     with np.errstate(all="ignore"):
-        r = np.nan_to_num(res(u), nan=1e6, posinf=1e6, neginf=-1e6)
-        cost, mu = r @ r, 1e-3
+        live = np.arange(len(u))
+        r = rest(u, live)
+        cost, mu = (r * r).sum(axis=1), np.full(len(u), 1e-3)
         for _ in range(rounds):
-            jac = np.empty((len(t), len(u)))
-            for k in range(len(u)):
-                h = 1e-6
-                v = u.copy()
-                v[k] += h
-                jac[:, k] = np.nan_to_num((np.nan_to_num(res(v), nan=1e6, posinf=1e6, neginf=-1e6) - r) / h)
-            g, a = jac.T @ r, jac.T @ jac
-            better = False
+            if not len(live):
+                break
+            h = 1e-6
+            jac = np.stack([(rest(u[live] + h * e, live) - r[live]) / h for e in np.eye(m)], axis=2)
+            g, a = np.einsum("stk,st->sk", jac, r[live]), np.einsum("stk,stl->skl", jac, jac)
+            scale = np.maximum(np.einsum("skk->sk", a), 1e-9)
+            better, gain = np.zeros(len(live), bool), np.zeros(len(live))
             for _ in range(8):
-                step = np.linalg.lstsq(a + mu * np.diag(np.maximum(np.diag(a), 1e-12)), -g, rcond=None)[0]
-                q = np.nan_to_num(res(u + step), nan=1e6, posinf=1e6, neginf=-1e6)
-                if q @ q < cost:
-                    better = True
+                todo = np.flatnonzero(~better)
+                if not len(todo):
                     break
-                mu *= 4
-            if not better:
-                break
-            done = cost - q @ q < 1e-6 * cost
-            u, r, cost, mu = u + step, q, q @ q, mu / 3
-            if done:
-                break
-    return to(u)
+                k = live[todo]
+                left = a[todo] + (mu[k, None] * scale[todo] + 1e-12)[:, :, None] * np.eye(m)
+                v = u[k] + np.linalg.solve(left, -g[todo][..., None])[..., 0]
+                q = rest(v, k)
+                c = (q * q).sum(axis=1)
+                good = c < cost[k]
+                won = k[good]
+                gain[todo[good]] = (cost[won] - c[good]) / np.maximum(cost[won], 1e-300)
+                u[won], r[won], cost[won] = v[good], q[good], c[good]
+                mu[won] /= 3
+                mu[k[~good]] *= 4
+                better[todo[good]] = True
+            live = live[better & (gain >= 1e-6)]
+    return low + (np.sin(u) + 1) / 2 * span
