@@ -412,6 +412,56 @@ def test_toxicity_of_odd_texts_and_few_labels(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_given_lists_and_patterns():
+    at = {n: k for k, n in enumerate([*toxicity.GIVEN, *toxicity.PATTERNS])}
+    on = lambda t: {n for n, k in at.items() if toxicity.given_votes(t)[k]}
+    assert on("") == on("a fine day, and more") == set()
+    assert {"en, contempt", "addressed"} <= on("You are an IDIOT") and "heaped" not in on("an idiot idiom")
+    assert "heaped" in on("scum, and vermin") and "masked" in on("what the f*ck") and "marks" in on("no!!!") and "masked" not in on("the&&& are*** it$$$")
+    assert "shouted" in on("GET OUT OF HERE RIGHT NOW PLEASE") and "shouted" not in on("this is from NATO and it goes once more " * 8)
+
+
+def test_votes_come_from_lists_without_the_own_label():
+    rows, cols = np.array([0, 0, 1, 2, 3]), np.array([0, 1, 0, 1, 2])
+    strength = np.zeros((toxicity.FOLDS + 1, 3))
+    strength[1:, 0] = 9.0  # known to all but fold 0
+    strength[toxicity.FOLDS, 1] = 7.0  # known to the lists of all labels only
+    fold = np.array([0, 1, toxicity.FOLDS, 2])
+    votes, against = toxicity.votes_of(rows, cols, fold, np.zeros((4, len(toxicity.GIVEN) + len(toxicity.PATTERNS))), strength)
+    mined = votes[:, -2 - toxicity.LISTS : -2].sum(axis=1)
+    assert mined.tolist() == [0, 1, 1, 0] and votes[:, -1].tolist() == [1, 0, 0, 1] and against.sum() == 1 and against[-1]
+
+
+def test_lists_keep_families_together():
+    rng = np.random.default_rng(5)
+    x = np.zeros((300, 6), bool)
+    x[:, 0] = rng.random(300) < 0.2
+    x[:, 1] = x[:, 0]  # a beginning of word 0
+    x[:, 2:] = rng.random((300, 4)) < 0.1
+    r, c = np.nonzero(x)
+    lists = toxicity.mined_lists(r, c, 300, np.array([9.0, 8.0, 7.0, 6.0, 5.0, 0.0]))
+    assert lists[0] == lists[1] and lists[5] == -1 and len(set(lists[[0, 2, 3, 4]])) == 4
+
+
+def test_unlabelled_rows_teach_too(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}o" for i in range(300)]
+    rows = []
+    for i in range(1500):
+        w = list(rng.choice(vocab, 40))
+        bad = rng.random() < 0.2
+        if bad:
+            w[3], w[20] = rng.choice(["grubbish", "scurvy"]), "oafish"
+            w[30] = "newslur" if i >= 500 else w[30]  # only in rows that nobody labelled
+        rows.append((i, " ".join(w), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    free = df.where("doc_id >= 500").drop("label")
+    model = toxicity.learn(df.where("doc_id < 500"), unlabelled=free)
+    probe = spark.createDataFrame([(1, "wabo newslur wbbo"), (2, "wabo wbbo")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(probe, model).collect()}
+    assert got[1] > 4 * got[2]
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(8000) < 0.3
@@ -423,6 +473,11 @@ def test_label_model_finds_accuracies():
     m = toxicity.LabelModel(0.3).fit(votes, against)
     true = [y[votes[:, j] == 1].mean() for j in range(4)]
     assert np.abs(m.accuracies()[:4] - true).max() < 0.2
+    # a voter that fires at random, mostly alone: a small anchor tells
+    idle = np.c_[votes[:, :4], rng.random(8000) < 0.1, votes[:, :4].sum(axis=1) == 0].astype(float)
+    idle[idle[:, 4] > 0, 5] = 0
+    tied = toxicity.LabelModel(0.3).fit(idle, np.arange(6) == 5, np.where(np.arange(8000) < 400, y, np.nan))
+    assert tied.accuracies()[4] < 0.55 and tied.accuracies()[0] > 0.8
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.85
     twin = toxicity.LabelModel(0.3).fit(np.c_[votes, votes[:, 0]], np.r_[against, False])
     assert twin.weight[0] < 0.7 and twin.weight[0] < twin.weight[3]
