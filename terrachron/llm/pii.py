@@ -325,6 +325,18 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return let(_kind(m), of)
 
 
+#: The expression by application and key: putting it together takes some seconds, and it fits every table.
+_BUILT: dict[tuple[str, str], Column] = {}
+
+
+def _pseudonyms(docs: DataFrame, secret: str) -> Column:
+    """The pseudonyms of the matches in the column _m."""
+    at = (docs.sparkSession.sparkContext.applicationId, secret)
+    if at not in _BUILT:
+        _BUILT[at] = F.transform("_m", lambda m: pseudonym(m, secret))
+    return _BUILT[at]
+
+
 def pseudonymise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, secret: str = KEY) -> DataFrame:
     """(key, text, n_replaced): whole texts with their matches replaced, one row each.
 
@@ -335,7 +347,7 @@ def pseudonymise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, se
     """
     t = text_or_empty(text)
     some = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"), F.when(t.rlike("[0-9@:]"), F.regexp_extract_all(t, F.lit(ALL), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("_m"))
-    new = F.transform("_m", lambda m: pseudonym(m, secret))
+    new = _pseudonyms(docs, secret)
     mapped = some.select(key, "text", "_m", F.when(F.size("_m") > 0, new).alias("_n"))
     between = F.split("text", ALL, -1)
     joined = F.array_join(F.flatten(F.zip_with(between, F.col("_n"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
