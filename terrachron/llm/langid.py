@@ -103,24 +103,25 @@ def _slots(h: np.ndarray, log2: int) -> Iterator[np.ndarray]:
 
 
 class BitmaskFilter:
-    """langs: names by bit; table: a mask of languages for each slot."""
+    """langs: names by bit; tables: for each word of 64 languages a mask for each slot. masks: (n-grams, words)."""
 
     def __init__(self, langs: list[str], hashes: np.ndarray, masks: np.ndarray, log2: int = SLOTS_LOG2):
         self.langs, self.log2 = langs, log2
-        kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
-        if len(langs) > 64:
-            raise ValueError("a mask holds up to 64 languages")
-        self.table = np.zeros(1 << log2, kind)
-        for s in _slots(hashes, log2):
-            np.bitwise_or.at(self.table, s, masks.astype(kind))
-        one = kind(1)
-        fill = [float(np.mean((self.table >> kind(b)) & one)) for b in range(len(langs))]
-        self.false = np.array([f**HASHES for f in fill])
-
-    def lookup(self, h: np.ndarray) -> np.ndarray:
+        self.tables, false = [], []
+        for word in range(-(-len(langs) // 64)):
+            own = min(64, len(langs) - 64 * word)
+            kind = np.uint8 if own <= 8 else np.uint16 if own <= 16 else np.uint32 if own <= 32 else np.uint64
+            table = np.zeros(1 << log2, kind)
+            for s in _slots(hashes, log2):
+                np.bitwise_or.at(table, s, masks[:, word].astype(kind))
+            self.tables.append(table)
+            false += [float(np.mean((table >> kind(b)) & kind(1))) ** HASHES for b in range(own)]
+        self.false = np.array(false)
+
+    def lookup(self, h: np.ndarray, word: int = 0) -> np.ndarray:
         out = None
         for s in _slots(h, self.log2):
-            out = self.table[s] if out is None else out & self.table[s]
+            out = self.tables[word][s] if out is None else out & self.tables[word][s]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -128,10 +129,11 @@ class BitmaskFilter:
         n, langs = len(texts), len(self.langs)
         total, hit = np.zeros(n), np.zeros((n, langs))
         for h, row in ngrams(texts):
-            m = self.lookup(h)
             total += np.bincount(row, minlength=n)
-            for b in range(langs):
-                hit[:, b] += np.bincount(row[(m >> m.dtype.type(b)) & m.dtype.type(1) == 1], minlength=n)
+            for word, table in enumerate(self.tables):
+                m, one = self.lookup(h, word), table.dtype.type(1)
+                for b in range(min(64, langs - 64 * word)):
+                    hit[:, 64 * word + b] += np.bincount(row[(m >> table.dtype.type(b)) & one == 1], minlength=n)
         some = np.maximum(total, 1)[:, None]
         true = np.maximum(0, (hit / some - self.false) / np.maximum(1e-9, 1 - self.false))
         best = np.argmax(true, axis=1) if langs else np.zeros(n, int)
@@ -141,22 +143,29 @@ class BitmaskFilter:
         return [self.langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())], np.where(known, np.clip(score, 0, 1), 0.0)
 
 
+def lettered(texts: list[str | None]) -> np.ndarray:
+    """Which texts have a letter."""
+    out = np.zeros(len(texts), bool)
+    for _, row in ngrams(texts):
+        out[row] = True
+    return out
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, rows_per_lang: int = TRAIN_ROWS) -> BitmaskFilter:
     """Filters of the languages of the labelled rows (lang not null).
 
     For each language about rows_per_lang rows are read, drawn by a hash of the key (all, if there are fewer); that
-    bounds the table of n-grams, so it may come to the driver. Texts without a letter teach nothing. Languages are
-    ordered by their number of rows, so ties go to the most common.
+    bounds the table of n-grams, so it may come to the driver, as a row for each language does. Texts without a letter
+    teach nothing; repeated rows count as often as they stand. Languages are ordered by their number of rows, so ties go
+    to the most common; there may be any number, 64 to a word of the masks.
     """
     rows = labelled.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("g"))
     rows = rows.where("g is not null")
     counts = sorted(((r["n"], r["g"]) for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[0], x[1]))
     langs = [g for _, g in counts]
     if not langs:
-        return BitmaskFilter([], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    share = F.lit(0.0)
-    for n, g in counts:
-        share = F.when(F.col("g") == g, F.lit(min(1.0, rows_per_lang / n))).otherwise(share)
+        return BitmaskFilter([], np.zeros(0, np.uint64), np.zeros((0, 0), np.uint64))
+    share = F.try_element_at(F.create_map(*[F.lit(x) for n, g in counts for x in (g, min(1.0, rows_per_lang / n))]), F.col("g"))
     draw = (F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 20)) / (1 << 20)) < share
     bit = {g: i for i, g in enumerate(langs)}
 
@@ -181,22 +190,24 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     drawn = arrow_rows(rows).where(draw)
     size = {bit[r["g"]]: r["n"] for r in drawn.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     grams = drawn.select("t", "g").mapInArrow(count, "h bigint, g int, n bigint").groupBy("h", "g").agg(F.sum("n").alias("n"))
-    rate = F.lit(None).cast("double")
-    for b, n in size.items():
-        rate = F.when(F.col("g") == b, F.col("n") / F.lit(float(n))).otherwise(rate)
+    if not size:
+        return BitmaskFilter(langs, np.zeros(0, np.uint64), np.zeros((0, -(-len(langs) // 64)), np.uint64))
+    rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for b, n in size.items() for x in (b, float(n))]), F.col("g"))
     frame = grams.withColumn("r", rate).where(F.col("r") >= MIN_SHARE).select("h", "g", "r").toPandas()
     h, at = np.unique(frame["h"].to_numpy(np.int64), return_inverse=True)
     best = np.zeros(len(h))
     np.maximum.at(best, at, frame["r"].to_numpy(float))
     held = frame["r"].to_numpy(float) >= OF_BEST * best[at]
-    masks = np.zeros(len(h), np.uint64)
-    np.bitwise_or.at(masks, at[held], np.uint64(1) << frame["g"].to_numpy(np.uint64)[held])
+    masks = np.zeros((len(h), -(-len(langs) // 64)), np.uint64)
+    bits = frame["g"].to_numpy(np.uint64)[held]
+    np.bitwise_or.at(masks, (at[held], (bits // np.uint64(64)).astype(np.int64)), np.uint64(1) << bits % np.uint64(64))
     return BitmaskFilter(langs, h.view(np.uint64), masks)
 
 
 def identify(docs: DataFrame, model: BitmaskFilter, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) of whole texts. Null texts, and texts without a letter, are `und` with score 0; so is
-    everything if no language was learned."""
+    """(key, lang_pred, score) of whole texts, one row each, repeats included. Null texts, and texts without a letter, are
+    `und` with score 0; so is everything if no language was learned. Other columns are not read; an empty table gives no
+    row."""
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
