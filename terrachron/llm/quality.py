@@ -1,10 +1,14 @@
 """Quality rules: base statistics of whole texts, and robust multivariate outliers by language and source.
 
-DataFrame functions only. Each group's centre and scatter are minimum-covariance-determinant estimates: from medians
-and median deviations as a start, concentration steps keep the nearest share of the rows and estimate anew, which
-never raises the determinant. Order statistics come from histograms of distances, counted before they are shuffled,
-so a source with a third of all rows costs no more in one task than any other. Rows whose Mahalanobis distance passes
-a chi-square quantile are rejected.
+DataFrame functions only. Centre and scatter are minimum-covariance-determinant estimates for each language and source:
+from two starts (medians with median deviations; means with the classical scatter) concentration steps keep the nearest
+share of the rows and estimate anew, which never raises the determinant, until no group's moves; the start that ends
+with the lesser determinant is taken. The estimates of each language and of all rows are made likewise, and a group's
+estimate is drawn toward its language's, and that toward all rows', as if SHRINK of the wider group's rows had been added
+to its own: the weight changes smoothly with the group's size, and a group of one row is judged by its language.
+
+Order statistics come from histograms of distances, counted before they are shuffled, so a source with a third of all
+rows costs no more in one task than any other. Rows whose Mahalanobis distance passes a chi-square quantile are rejected.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ from pyspark.sql import functions as F
 from .common import pick, read_table, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A group of fewer rows is estimated together with the other small sources of its language, or of all languages.
-MIN_GROUP = 200
-#: Share of the rows that the concentration steps keep, number of steps, and the chi-square quantile of the cut.
-KEEP, STEPS, QUANTILE = 0.75, 3, 0.99999
+#: Rows of the wider group that count beside a group's own.
+SHRINK = 50.0
+#: Share of the rows that the concentration steps keep, and the chi-square quantile of the cut.
+KEEP, QUANTILE = 0.75, 0.99999
+#: The steps end when no group's logarithm of the determinant changes by more than this; distances are binned, so it may
+#: move to and fro a little, and after STEPS it is left where it is.
+STILL, STEPS = 0.01, 20
 #: Transformed statistics, and the least standard deviation that each is given, so that a statistic that is nearly
 #: always zero doesn't reject whatever is not.
 DIMS = ("x0", "x1", "x2", "x3")
@@ -90,16 +97,10 @@ def _vector() -> dict[str, Column]:
     return {"x0": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), "x1": rate("n_symbols", 20.0), "x2": rate("n_dup_lines", 20.0), "x3": rate("n_repeat_words", 10.0)}
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """Adds g: the group that a row is estimated in."""
-    one = lambda *c: F.xxhash64(*[x for n in c for x in (F.isnull(n), F.coalesce(F.col(n).cast("string"), F.lit("")))])
-    rows = rows.withColumn("_ls", one("lang", "source")).withColumn("_l", one("lang"))
-    per = rows.groupBy("_ls", "_l").agg(F.count(F.lit(1)).alias("n"))
-    small = per.where(F.col("n") < MIN_GROUP)
-    langs = small.groupBy("_l").agg(F.sum("n").alias("m"))
-    g = F.when(F.col("n") >= MIN_GROUP, F.col("_ls")).when(F.col("m") >= MIN_GROUP, F.col("_l")).otherwise(F.lit(0).cast("long"))
-    named = stored(per.join(langs, "_l", "left").select("_ls", g.alias("g")), "quality-groups")
-    return rows.join(named, "_ls").drop("_ls", "_l")
+def _named(rows: DataFrame) -> DataFrame:
+    """Adds the groups that a row belongs to: g2 (its language and source), g1 (its language); all rows are group 0."""
+    one = lambda *c: F.xxhash64(F.lit(len(c)), *[x for n in c for x in (F.isnull(n), F.coalesce(F.col(n).cast("string"), F.lit("")))])
+    return rows.withColumn("g2", one("lang", "source")).withColumn("g1", one("lang"))
 
 
 def _order_statistic(counts: DataFrame, by: list[str], share: float) -> DataFrame:
@@ -136,7 +137,7 @@ def _cholesky(params: DataFrame) -> DataFrame:
             for k in range(j):
                 s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", s / F.col(f"l{j}{j}"))
-    return params.select("g", *[f"m{j}" for j in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
+    return params
 
 
 def _distance() -> Column:
@@ -154,34 +155,72 @@ def _bin(d: Column) -> Column:
     return F.floor(F.log1p(d) * 64).cast("int")
 
 
+_M = [f"m{j}" for j in range(len(DIMS))]
+_C = [f"c{j}{i}" for i in range(len(DIMS)) for j in range(i + 1)]
+_L = [f"l{i}{j}" for i in range(len(DIMS)) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """(by, m, c): means and scatter times the factor, with the floors added."""
+    d = range(len(DIMS))
+    sums = [F.avg(DIMS[j]).alias(f"m{j}") for j in d] + [F.avg(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i in d for j in range(i, len(DIMS))]
+    est = rows.groupBy(*by).agg(*sums)
+    for i in d:
+        for j in range(i, len(DIMS)):
+            cov = factor * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
+            est = est.withColumn(f"c{i}{j}", F.greatest(cov, F.lit(0.0)) + FLOOR[i] ** 2 if i == j else cov)
+    return est
+
+
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """rows: g and x0..; one row for each group: centre m and lower factor l of the scatter."""
+    """rows: g and x0..; one row for each group: centre m and scatter c."""
     d = range(len(DIMS))
     fine = 100.0
     med = stored(_wide(_order_statistic(_long(rows, lambda j: F.col(DIMS[j]), fine), ["g", "j"], 0.5), "m", fine), "quality-med")
-    at = rows.join(med, "g")
-    mad = _wide(_order_statistic(_long(at, lambda j: F.abs(F.col(DIMS[j]) - F.col(f"m{j}")), fine), ["g", "j"], 0.5), "s", fine)
-    start = med.join(mad, "g")
+    mad = _wide(_order_statistic(_long(rows.join(med, "g"), lambda j: F.abs(F.col(DIMS[j]) - F.col(f"m{j}")), fine), ["g", "j"], 0.5), "s", fine)
+    start = med.join(mad, "g").withColumn("start", F.lit(0))
     for i in d:
         for j in range(i + 1):
-            start = start.withColumn(f"l{i}{j}", F.greatest(F.lit(FLOOR[i]), 1.4826 * F.col(f"s{i}")) if i == j else F.lit(0.0))
-    params = stored(start.drop(*[f"s{j}" for j in d]), "quality-start")
-    even = len(DIMS)
-    cut = chi2_quantile(KEEP, even)
-    factor = KEEP / _chi2_cdf(cut, even + 2)
-    for _ in range(STEPS):
-        far = rows.join(params, "g").select("g", *DIMS, _bin(_distance()).alias("bin"))
-        near = stored(_order_statistic(far.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], KEEP).withColumnRenamed("bin", "most"), "quality-near")
-        kept = far.join(near, "g").where("bin <= most")
-        sums = [F.count(F.lit(1)).alias("n"), *[F.avg(DIMS[j]).alias(f"m{j}") for j in d]]
-        sums += [F.avg(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i in d for j in range(i, len(DIMS))]
-        est = kept.groupBy("g").agg(*sums)
-        for i in d:
-            for j in range(i, len(DIMS)):
-                cov = factor * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-                est = est.withColumn(f"c{i}{j}", F.greatest(cov, F.lit(0.0)) + FLOOR[i] ** 2 if i == j else cov)
-        params = stored(_cholesky(est), "quality-params")
-    return params
+            start = start.withColumn(f"c{j}{i}", F.pow(F.greatest(F.lit(FLOOR[i]), 1.4826 * F.col(f"s{i}")), 2) if i == j else F.lit(0.0))
+    names = ["g", "start", *_M, *_C]
+    both = start.select(*names).unionByName(_moments(rows, ["g"], 1.0).withColumn("start", F.lit(1)).select(*names))
+    params = stored(_cholesky(both).select(*names, *_L), "quality-start")
+    cut = chi2_quantile(KEEP, len(DIMS))
+    factor = KEEP / _chi2_cdf(cut, len(DIMS) + 2)
+    size = sum((F.log(F.col(f"l{j}{j}")) for j in d[1:]), F.log(F.col("l00"))) * 2
+    for step in range(STEPS):
+        far = rows.join(params, "g").select("g", "start", *DIMS, _bin(_distance()).alias("bin"))
+        near = stored(_order_statistic(far.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["g", "start"], KEEP).withColumnRenamed("bin", "most"), "quality-near")
+        kept = far.join(near, ["g", "start"]).where("bin <= most")
+        new = stored(_cholesky(_moments(kept, ["g", "start"], factor)).select(*names, *_L), "quality-params")
+        moved = new.withColumn("now", size).join(params.select("g", "start", size.alias("then")), ["g", "start"])
+        params = new
+        # the first step also scales the scatter, so only later ones are compared
+        if step and (moved.agg(F.max(F.abs(F.col("now") - F.col("then")))).first()[0] or 0.0) <= STILL:
+            break
+    least = params.groupBy("g").agg(F.min_by(F.struct(*_M, *_C), F.struct(size, F.col("start"))).alias("p"))
+    return stored(least.select("g", "p.*"), "quality-best")
+
+
+def _drawn_toward(own: DataFrame, wide: DataFrame) -> DataFrame:
+    """own: (.., g, up, n, m, c); wide: (up, m, c) of the wider groups. The means and scatters of own with SHRINK rows of
+    the wider group."""
+    w = wide.select("up", *[F.col(c).alias(f"w{c}") for c in (*_M, *_C)])
+    mixed = [((F.col(c) * F.col("n") + F.col(f"w{c}") * SHRINK) / (F.col("n") + SHRINK)).alias(c) for c in (*_M, *_C)]
+    keep = [c for c in own.columns if c not in (*_M, *_C, "up")]
+    return own.join(w, "up").select(*keep, *mixed)
+
+
+def group_estimates(rows: DataFrame) -> DataFrame:
+    """rows: g2, g1 and x0..; for each g2 its centre m and lower factor l, drawn toward its language's and all rows'."""
+    level = F.explode(F.array("g2", "g1", F.lit(0).cast("long"))).alias("g")
+    est = robust_estimates(stored(rows.select(level, *DIMS), "quality-rows"))
+    sizes = stored(rows.groupBy("g2", "g1").agg(F.count(F.lit(1)).alias("n")), "quality-sizes")
+    whole = est.where("g = 0").withColumnRenamed("g", "up")
+    langs = sizes.groupBy("g1").agg(F.sum("n").alias("n")).withColumnRenamed("g1", "g").join(est, "g").withColumn("up", F.lit(0).cast("long"))
+    langs = _drawn_toward(langs, whole).withColumnRenamed("g", "up")
+    own = sizes.select(F.col("g2").alias("g"), F.col("g1").alias("up"), "n").join(est, "g")
+    return stored(_cholesky(_drawn_toward(own, langs)).select(F.col("g").alias("g2"), *_M, *_L), "quality-groups")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,10 +228,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     null languages and sources are groups of their own; repeated rows count as often as they stand; an empty table
     gives an empty result."""
     stats = stored(base_statistics(docs, key, text, ("lang", "source")), "quality-stats")
-    grouped = _groups(stats.select("*", *[c.alias(n) for n, c in _vector().items()]))
-    params = robust_estimates(grouped.where("not base_failed"))
+    grouped = _named(stats.select("*", *[c.alias(n) for n, c in _vector().items()]))
+    params = group_estimates(grouped.where("not base_failed"))
     limit = chi2_quantile(QUANTILE, len(DIMS))
-    out = grouped.join(params, "g", "left").withColumn("distance", F.sqrt(_distance()))
+    out = grouped.join(params, "g2", "left").withColumn("distance", F.sqrt(_distance()))
     near = F.coalesce(F.col("distance") <= math.sqrt(limit), F.lit(True))
     return out.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "distance")
 
