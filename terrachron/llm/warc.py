@@ -23,6 +23,8 @@ from .common import arrow_rows, pick, read_table, shared_dir, stored
 SEP = "\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
+#: Most rows of the table of splits that is broadcast: some 200 bytes each.
+ENTRIES = 50_000
 MAGIC = "WARC/1."
 #: No beginning of it is also an ending, so the cuts do not depend on where a split begins.
 CUT = SEP + MAGIC
@@ -161,10 +163,9 @@ def _record_parts(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, at, raw, whole): the bytes after the magic of each record that its file's start reaches; whole, or
     in one part for each split it crosses (offset null: the part of a record that began in a split before).
 
-    The map of splits to their first records has a row for each split, some hundred bytes to many megabytes of
-    archive; it alone is sent to the tasks.
+    Each split's segments are joined with the place of its first record. The table of these has a row for each split;
+    up to ENTRIES rows it is broadcast, beyond that both sides are shuffled by split and put in order again.
     """
-    held = spark.sparkContext.broadcast({(r["file"], r["block"]): (r["begin"], r["entry"]) for r in entries(spark, path).collect()})
     lead, cut = len(MAGIC), CUT.encode()
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +187,12 @@ def _record_parts(spark: SparkSession, path: str) -> DataFrame:
             rows.append((now[0], record, at, raw[: to - record - lead - 4] if whole else raw, whole))
 
         for batch in it:
-            for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, block, value, begin, entry in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != (file, block):
                     if is_open:
                         close()
                     now = (file, block)
-                    pos, entry = held.value[now]
+                    pos = begin
                     # before the entry stands the rest of a record that began in a split before
                     record, parts, at, to, is_open = None, [], pos, -1 if entry is None else entry, block > 0
                 first = block == 0 and pos == 0
@@ -220,7 +221,17 @@ def _record_parts(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield flush()
 
-    return arrow_rows(_segments(spark, path)).mapInArrow(read, "file string, offset bigint, at bigint, raw binary, whole boolean")
+    first_records = stored(entries(spark, path), "warc-entries")
+    return arrow_rows(_with_entries(_segments(spark, path), first_records)).mapInArrow(read, "file string, offset bigint, at bigint, raw binary, whole boolean")
+
+
+def _with_entries(segments: DataFrame, first_records: DataFrame, most: int = ENTRIES) -> DataFrame:
+    """(file, block, value, begin, entry), the segments of each split in their order."""
+    names = ["file", "block", "value", "begin", "entry"]
+    if first_records.count() <= most:
+        return segments.join(F.broadcast(first_records), ["file", "block"]).select(*names)
+    there = segments.withColumn("_i", F.monotonically_increasing_id())
+    return there.join(first_records.hint("merge"), ["file", "block"]).sortWithinPartitions("file", "block", "_i").select(*names)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
