@@ -8,6 +8,8 @@ first in a keyed permutation, down to the document at which the budget is met.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from .common import pick, read_table, stored, text_or_empty
 
 #: Exponents tried at once in a pass over the sources; PASSES narrow the bracket to GRID ** -PASSES.
 GRID, PASSES = 32, 4
-#: Blocks of a source; a budget is met within one block.
-BLOCKS = 1024
+#: Blocks of a source, at least, and documents of a block of the largest source; a budget is met within one block.
+BLOCKS, DOCS_PER_BLOCK = 1024, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,14 +34,17 @@ def source_table(rows: DataFrame) -> DataFrame:
 
 def exponent(sources: DataFrame, *, budget: float, entropy: float | None = None, repeats: float | None = None) -> float:
     """The least exponent in 0 to 1 that keeps every source to `repeats` passes, or the one that gives the entropy
-    (nats). Each pass tries a grid of exponents in one aggregation; the sources never come to the driver."""
+    (nats), if that is given. Each pass tries a grid of exponents in one aggregation; the sources never come to the
+    driver. A target that no exponent meets raises a ValueError: an entropy above that of equal weights or below that of
+    the shares themselves, or fewer passes than the shares need (budget over all tokens). Without tokens it is 1.
+    """
     live = sources.where("n_tokens > 0").select("n_tokens")
     total = float(live.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
         return 1.0
     p = F.col("n_tokens") / F.lit(total)
     low, high = 0.0, 1.0
-    for _ in range(PASSES):
+    for step in range(PASSES):
         grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
         cols = []
         for i, a in enumerate(grid):
@@ -47,15 +52,17 @@ def exponent(sources: DataFrame, *, budget: float, entropy: float | None = None,
             # passes of a source: budget * p^a / Z / tokens, at most at the least or the greatest source
             cols += [F.sum(pa).alias(f"z{i}"), F.sum(pa * F.log(p) * a).alias(f"e{i}"), F.max(pa / F.col("n_tokens")).alias(f"r{i}")]
         got = live.agg(*cols).first()
-        good = []
-        for i, a in enumerate(grid):
-            z = got[f"z{i}"]
-            if entropy is not None:
-                import math
-
-                good.append(math.log(z) - got[f"e{i}"] / z <= entropy)
-            else:
-                good.append(budget * got[f"r{i}"] / z <= repeats * (1 + 1e-12))
+        reached = [math.log(got[f"z{i}"]) - got[f"e{i}"] / got[f"z{i}"] for i in range(GRID + 1)]
+        if step == 0 and entropy is not None and not reached[-1] - 1e-9 <= entropy <= reached[0] + 1e-9:
+            raise ValueError(f"an entropy of {entropy} is out of reach: the sources allow {reached[-1]:.6g} to {reached[0]:.6g} nats")
+        if entropy is not None:
+            good = [x <= entropy for x in reached]
+        elif repeats is not None:
+            good = [budget * got[f"r{i}"] / got[f"z{i}"] <= repeats * (1 + 1e-12) for i in range(GRID + 1)]
+            if step == 0 and not good[-1]:
+                raise ValueError(f"{repeats} passes give no more than {repeats * total:.6g} tokens of the {budget:.6g} wanted")
+        else:
+            return 1.0
         # both conditions hold from some exponent upwards
         first = next((i for i, g in enumerate(good) if g), GRID)
         if first == 0:
@@ -69,11 +76,15 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     Null sources are one source. Documents without a token belong to their block and cost nothing. place orders the
     mixture: blocks of all sources by a keyed hash, documents within a block by another; ties (repeated rows) share
-    one place. The number of blocks of a source is fixed, so no window grows with the number of blocks; one block is
-    1/BLOCKS of its source.
+    one place. There are as many blocks as the largest source needs to have DOCS_PER_BLOCK documents in each, and no
+    window is larger than one block or the blocks of one source; rows with a null id are spread over the blocks by
+    their place in the table. An empty table gives no row; targets out of reach raise (see `exponent`).
     """
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{source}`").alias("source"), tokens(text).alias("n_tokens"))
-    rows = stored(rows.withColumn("block", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(BLOCKS)).cast("int")), "mix-rows")
+    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{source}`").alias("source"), tokens(text).alias("n_tokens"), F.when(F.col(f"`{key}`").isNull(), F.monotonically_increasing_id()).alias("_u"))
+    rows = stored(rows, "mix-rows")
+    most = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    count = max(BLOCKS, -(-most // DOCS_PER_BLOCK))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col(key), F.col("_u"), F.lit(seed)), F.lit(count)).cast("int"))
     blocks = stored(rows.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "mix-blocks")
     sources = stored(blocks.groupBy("source").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "mix-sources")
     total = float(sources.agg(F.sum("n_tokens")).first()[0] or 0)
@@ -89,7 +100,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     )
     rest = F.greatest(F.lit(0.0), F.col("want") - F.col("full") * F.col("all"))
     order = F.xxhash64("source", "block", "full", F.lit(seed + 1))
-    w = Window.partitionBy("source").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, 0)  # BLOCKS rows at most
+    w = Window.partitionBy("source").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, 0)  # a row a block
     cut = (
         blocks.join(plan, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("o", order)
@@ -103,7 +114,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     passes = at.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     last = at.where(F.col("whole") & (F.col("left") > 0)).withColumn("epoch", F.col("full"))
     # the one block of each source in which the budget runs out: documents in keyed order while it lasts
-    d = Window.partitionBy("s", "b").orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)), F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
+    d = Window.partitionBy("s", "b").orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)), F.col(key), F.col("_u")).rowsBetween(Window.unboundedPreceding, 0)
     partly = at.where(~F.col("whole") & (F.col("left") > 0)).withColumn("upto", F.sum("n_tokens").over(d)).where(F.col("upto") - F.col("n_tokens") < F.col("left")).drop("upto").withColumn("epoch", F.col("full"))
     names = [key, "source", "n_tokens", "epoch", "block"]
     out = passes.select(*names).unionByName(last.select(*names)).unionByName(partly.select(*names))
