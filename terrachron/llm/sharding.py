@@ -1,29 +1,32 @@
 """Sharding by sampled splitters.
 
-Rows are ordered by (hash of the text, id), so equal texts lie together. A sample drawn with chances in proportion to
-size gives quantiles of the bytes; they cut the key space in many fine ranges, whose exact sums are then known. Ranges
-that turn out overfull (a poor draw, or one text that many rows have) are subdivided by a second sample of their own.
-Shards are runs of ranges of near equal bytes.
+Rows are ordered by (hash of the text, id, ordinal), so equal texts lie together and yet any two rows differ. A sample
+drawn with chances in proportion to size gives quantiles of the bytes; they cut the key space in many fine ranges, whose
+exact sums are then known. Ranges that turn out overfull (a poor draw, or one text that many rows have) are subdivided by
+samples of their own until none is. Shards are runs of ranges of near equal bytes.
 """
 
 from __future__ import annotations
 
 import bisect
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import pick, read_table, shared_dir, stored
 
-#: Size-weighted draws for each shard, in the first sample.
-DRAWS_PER_SHARD = 512
-#: Fine ranges for each shard.
-RANGES_PER_SHARD = 64
+#: Size-weighted draws for each fine range.
+DRAWS = 8
+#: Fine ranges for each shard, and rows of a fine range: there are as many ranges as the greater needs.
+RANGES_PER_SHARD, ROWS_PER_RANGE = 64, 1_000_000
 #: A range is overfull beyond this many times the mean.
 OVERFULL = 2.0
 #: A cut moves to the edge of a group of equal texts if that is within this share of a shard.
 SNAP = 0.01
+#: Stands for a null id, which sorts first.
+NO_ID = -(1 << 62)
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,8 +41,20 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
+def ordinals(rows: DataFrame, key: str) -> DataFrame:
+    """Adds u: 0, or for rows that repeat an id and a text numbers that tell them apart. The rows are written ones, so
+    the numbers do not change once they are written too."""
+    repeated = rows.groupBy(F.col(key).alias("_k"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k", "_h")
+    repeated = stored(repeated, "shard-repeats")
+    if repeated.isEmpty():
+        return rows.withColumn("u", F.lit(0).cast("long"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h"))
+    found = rows.withColumn("_i", F.monotonically_increasing_id()).join(repeated, same, "left")
+    return stored(found.select(*rows.columns, F.when(F.col("_h").isNotNull(), F.col("_i") + 1).otherwise(0).alias("u")), "shard-rows")
+
+
 def _drawn(rows: DataFrame, key: str, chance: Column, seed: int) -> DataFrame:
-    u = F.pmod(F.xxhash64(F.col(key), F.col("h"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(F.col(key), F.col("h"), F.col("u"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return rows.where(u < chance)
 
 
@@ -49,65 +64,66 @@ def _quantiles(points: list[tuple], pieces: int) -> list[tuple]:
     return sorted({points[min(n - 1, round(i * n / pieces))] for i in range(1, pieces)}) if n else []
 
 
+def places(cuts: np.ndarray, keys: list[np.ndarray], first: int = 0) -> np.ndarray:
+    """How many cuts (rows of a sorted array) are at or below each key: a search by the first column, and among cuts that
+    share it by the next, only for the keys that meet them."""
+    c = cuts[:, first]
+    low, high = np.searchsorted(c, keys[first], "left"), np.searchsorted(c, keys[first], "right")
+    if first == cuts.shape[1] - 1:
+        return high
+    out = high.copy()
+    some = np.flatnonzero(low != high)
+    for at in np.unique(low[some]):
+        own = some[low[some] == at]
+        out[own] = at + places(cuts[at : high[own[0]]], [k[own] for k in keys], first + 1)
+    return out
+
+
 def _with_range(rows: DataFrame, key: str, cuts: list[tuple]) -> DataFrame:
-    """rng: how many cuts are at or below the row's (h, key). The cuts are bounded by the number of shards."""
-    spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(cuts)
+    """rng: how many cuts are at or below the row's (h, key, u). The cuts are bounded by the number of ranges."""
+    held = rows.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64).reshape(-1, 3))
 
     def find(it):
-        import numpy as np
         import pandas as pd
 
-        hs = np.array([c[0] for c in held.value], np.int64)
-        for h, k in it:
-            a = h.to_numpy(np.int64)
-            low, high = np.searchsorted(hs, a, "left"), np.searchsorted(hs, a, "right")
-            same = np.flatnonzero(low != high)  # the text of a cut: the id decides
-            kk = k.to_numpy()
-            for i in same.tolist():
-                high[i] = bisect.bisect_right(held.value, (int(a[i]), int(kk[i])))
-            yield pd.Series(high.astype(np.int32))
+        for cols in it:
+            yield pd.Series(places(held.value, [c.to_numpy(np.int64) for c in cols]).astype(np.int32))
 
     f = F.pandas_udf(find, T.IntegerType(), F.PandasUDFType.SCALAR_ITER)
-    return rows.withColumn("rng", f(F.col("h"), F.coalesce(F.col(key), F.lit(-(1 << 62)))))
+    return rows.withColumn("rng", f(F.col("h"), F.coalesce(F.col(key), F.lit(NO_ID)), F.col("u")))
 
 
-def splitters(rows: DataFrame, shards: int, key: str) -> tuple[list[tuple], list[dict]]:
-    """Cuts (h, id) in order, and for each range between them its rows and bytes."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
+def splitters(rows: DataFrame, shards: int, key: str, *, rows_per_range: int = ROWS_PER_RANGE) -> tuple[list[tuple], list[dict]]:
+    """Cuts (h, id, ordinal) in order, and for each range between them its rows and bytes."""
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not total:
         return [], []
-    k = F.coalesce(F.col(key), F.lit(-(1 << 62))).alias("k")
-
-    def sample(df: DataFrame, chance: Column, seed: int) -> DataFrame:
-        return _drawn(df, key, chance, seed).select("h", k)
-
-    first = sample(rows, F.col("size") * float(shards * DRAWS_PER_SHARD) / float(total), 1)
-    cuts = _quantiles(sorted(map(tuple, first.collect())), shards * RANGES_PER_SHARD)
-    mean = total / (shards * RANGES_PER_SHARD)
-
-    def sums(cuts: list[tuple]) -> dict[int, tuple[int, int]]:
-        got = _with_range(rows, key, cuts).groupBy("rng").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()
-        return {r["rng"]: (r["n"], r["b"]) for r in got}
-
-    have = sums(cuts)
-    for seed in (2, 3):
-        full = {r: b for r, (n, b) in have.items() if b > OVERFULL * mean and n > 1}
+    pieces = max(shards * RANGES_PER_SHARD, -(-n // rows_per_range))
+    mean = total / pieces
+    point = [F.col("h"), F.coalesce(F.col(key), F.lit(NO_ID)).alias("k"), F.col("u")]
+    first = _drawn(rows, key, F.col("size") * float(DRAWS * pieces) / float(total), 1).select(*point)
+    cuts = _quantiles(sorted(map(tuple, first.collect())), pieces)
+    seed = 1
+    while True:
+        placed = _with_range(rows, key, cuts)
+        have = {r["rng"]: (r["n"], r["b"]) for r in placed.groupBy("rng").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()}
+        full = {r: b for r, (m, b) in have.items() if b > OVERFULL * mean and m > 1}
         if not full:
-            break
-        chance = F.lit(0.0)
-        inner = _with_range(rows, key, cuts).where(F.col("rng").isin(list(full)))
-        chance = F.element_at(F.create_map(*[F.lit(x) for r, b in full.items() for x in (r, 32.0 * max(1.0, b / mean) / b)]), F.col("rng"))
+            return cuts, [{"n": have.get(i, (0, 0))[0], "b": have.get(i, (0, 0))[1]} for i in range(len(cuts) + 1)]
+        # no two rows have one key, so every range of two rows or more can be cut; a draw that cuts none is drawn anew
+        seed += 1
+        chance = F.element_at(F.create_map(*[F.lit(x) for r, b in full.items() for x in (r, 4.0 * DRAWS * max(1.0, b / mean) / b)]), F.col("rng"))
+        drawn = _drawn(placed.where(F.col("rng").isin(list(full))), key, F.col("size") * chance, seed).select("rng", *point).collect()
         points: dict[int, list] = {}
-        drawn = _drawn(inner, key, F.col("size") * chance, seed).select("rng", "h", k).collect()
-        for r, h, i in drawn:
-            points.setdefault(r, []).append((h, i))
-        more = [c for r, p in points.items() for c in _quantiles(sorted(p), min(len(p), 2 * int(full[r] / mean) + 2))]
-        if not set(more) - set(cuts):
-            break
-        cuts = sorted(set(cuts) | set(more))
-        have = sums(cuts)
-    return cuts, [{"n": have.get(i, (0, 0))[0], "b": have.get(i, (0, 0))[1]} for i in range(len(cuts) + 1)]
+        for r, *p in drawn:
+            points.setdefault(r, []).append(tuple(p))
+        more = {c for r, p in points.items() for c in _quantiles(sorted(p), min(len(p), 2 * int(full[r] / mean) + 2))}
+        if seed > 60:
+            raise RuntimeError("ranges stay overfull")
+        # one huge row, alone at the end of its range, is no reason to go on
+        if not more - set(cuts) and seed > 8 and all(have[r][0] <= 2 for r in full):
+            return cuts, [{"n": have.get(i, (0, 0))[0], "b": have.get(i, (0, 0))[1]} for i in range(len(cuts) + 1)]
+        cuts = sorted(set(cuts) | more)
 
 
 def assign(cuts: list[tuple], ranges: list[dict], shards: int) -> list[int]:
@@ -119,16 +135,17 @@ def assign(cuts: list[tuple], ranges: list[dict], shards: int) -> list[int]:
         at += r["b"]
         ends.append(at)
     inside = [i < len(cuts) and i > 0 and cuts[i][0] == cuts[i - 1][0] for i in range(len(ranges))]
-    out, last = [], -1
     slack = SNAP * total / shards
-    bounds = []
+    bounds, last = [], -1
     for s in range(1, shards):
         goal = total * s / shards
-        i = bisect.bisect_left(ends, goal)
-        near = [j for j in range(max(last + 1, i - 8), min(len(ends), i + 9))] or [min(last + 1, len(ends) - 1)]
-        last = min(near, key=lambda j: (abs(ends[j] - goal) + (slack if inside[j] else 0), j))
+        i = min(bisect.bisect_left(ends, goal), len(ends) - 1)
+        reach = min(abs(ends[j] - goal) for j in (max(i - 1, 0), i)) + slack
+        low, high = bisect.bisect_left(ends, goal - reach), bisect.bisect_right(ends, goal + reach)
+        near = range(max(last + 1, low), max(high, last + 2))
+        last = min((j for j in near if j < len(ends)), key=lambda j: (abs(ends[j] - goal) + (slack if inside[j] else 0), j), default=len(ends) - 1)
         bounds.append(last)
-    shard = 0
+    out, shard = [], 0
     for i in range(len(ranges)):
         while shard < len(bounds) and i > bounds[shard]:
             shard += 1
@@ -140,11 +157,12 @@ def shard_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str
     """(key, size, text_crc32, rng, shard, slot): every row in a shard of near equal bytes, slots gapless from 0.
 
     A slot is the offset of the row's range in its shard plus its place within the range, so no task sorts more than
-    one range. Repeated rows (equal id and text) take different slots in any order. Null ids sort first; null texts
-    are empty texts; an empty table gives an empty result.
+    one range. Repeated rows (equal id and text) are told apart by an ordinal that is given when the keys are written,
+    so they can be parted like others and take different slots in any order. Null ids sort first; null texts are empty
+    texts; an empty table gives an empty result; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    rows = stored(keyed(docs, key, text), "shard-keys")
+    rows = ordinals(stored(keyed(docs, key, text), "shard-keys"), key)
     cuts, ranges = splitters(rows, shards, key)
     if not ranges:
         return rows.select(key, "size", "text_crc32", *[F.lit(0).cast(t).alias(c) for c, t in (("rng", "int"), ("shard", "int"), ("slot", "long"))])
@@ -155,8 +173,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str
         seen[s] = offset[-1] + r["n"]
     placed = _with_range(rows, key, cuts)
     plan = spark.createDataFrame([(i, s, o) for i, (s, o) in enumerate(zip(owner, offset))], "rng int, shard int, first long")
-    place = F.row_number().over(Window.partitionBy("rng").orderBy("h", F.col(key).asc_nulls_first(), "size"))
-    placed = placed.withColumn("place", place).join(F.broadcast(plan), "rng")  # as many rows as ranges, about 64 a shard
+    place = F.row_number().over(Window.partitionBy("rng").orderBy("h", F.col(key).asc_nulls_first(), "u"))
+    placed = placed.withColumn("place", place).join(plan, "rng")  # a row a range: Spark broadcasts it if it is small
     return placed.select(key, "size", "text_crc32", "rng", "shard", (F.col("first") + F.col("place") - 1).alias("slot"))
 
 
