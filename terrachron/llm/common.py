@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names; a local one only where that is unset."""
+    """A fresh path in the shared folder that spark.checkpoint.dir names; a local one only where that is unset. All paths
+    of an application are in one folder, which may be deleted when it has ended."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="terrachron-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/terrachron-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -83,6 +84,8 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60)
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("v"))
     return (
         roots.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -197,3 +197,14 @@ def test_result_does_not_depend_on_partitions(spark):
 
 def test_xxhash_is_sparks(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] % (1 << 64) == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_components_that_are_not_complete_raise(spark):
+    import pytest
+
+    from terrachron.llm.common import components
+
+    chain = spark.range(60).selectExpr("id as a", "id + 1 as b")
+    with pytest.raises(RuntimeError, match="not complete"):
+        components(chain, max_rounds=1)
+    assert components(chain).where("root = 0").count() == 61
