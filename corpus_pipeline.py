@@ -17,6 +17,17 @@ BUDGET_SHARE = 0.9
 SHARDS = 24
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with more underscores in front until no column of docs has them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def row_key(docs: DataFrame) -> Column:
     """The id; without one, a negative number made of the text."""
     return F.coalesce(F.col("doc_id"), -F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62)) - 2)
@@ -24,7 +35,8 @@ def row_key(docs: DataFrame) -> Column:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts with no letter. The others' lang is filled with the
-    prediction where it is null."""
+    prediction where it is null; if no row has a lang, nothing is learned and it stays null. Repeated rows stay; an
+    empty table stays empty; other columns pass unread."""
     model = langid.learn(docs)
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
@@ -33,46 +45,56 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            pred = [p for s in range(0, len(texts), 500) for p in model.predict(texts[s : s + 500])[0]]
-            named = [p if g is None else g for g, p in zip(batch.column(lang).to_pylist(), pred)]
+            parts = [texts[s : s + 500] for s in range(0, len(texts), 500)]
+            pred = [p for part in parts for p in model.predict(part)[0]]
+            good = [p != "und" for p in pred] if model.langs else [bool(x) for part in parts for x in langid.lettered(part)]
+            named = [(p if model.langs else None) if g is None else g for g, p in zip(batch.column(lang).to_pylist(), pred)]
             cols = batch.columns
             cols[lang] = pa.array(named, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(pa.array([p != "und" for p in pred], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(pa.array(good, pa.bool_()))
 
     return arrow_rows(docs).mapInArrow(keep, docs.schema)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near-duplicates the row with the least key; of rows that repeat a key and its text,
-    one."""
-    keyed = docs.withColumn("_key", row_key(docs)).withColumn("_row", F.xxhash64("_key", F.coalesce("text", F.lit(""))))
-    found = simhash.near_duplicates(keyed.select("_row", "text"), "_row", "text").groupBy("_row").agg(F.min("component_id").alias("_c"))
-    rows = keyed.groupBy("_row").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n"))
-    least = rows.join(found.hint("merge"), "_row").groupBy("_c").agg(F.min(F.struct("_key", "_row", "_n")).alias("_f"))
-    first = stored(least.select("_f._row", "_f._n"), "dedup-first")
-    kept = keyed.join(first.hint("merge"), "_row").drop("_key")  # the kept rows grow with the corpus: never broadcast
-    once = kept.where("_n = 1").select(*docs.columns)
-    again = kept.where("_n > 1")
-    if again.select("_row").isEmpty():
+    one. A null text counts as empty, and empty texts are equal; an empty table stays empty; other columns may have any
+    name."""
+    k, r, c, n = fresh(docs, "_key", "_row", "_c", "_n")
+    keyed = docs.withColumn(k, row_key(docs)).withColumn(r, F.xxhash64(k, F.coalesce("text", F.lit(""))))
+    found = simhash.near_duplicates(keyed.select(F.col(r).alias("_row"), "text"), "_row", "text").groupBy("_row").agg(F.min("component_id").alias(c))
+    rows = keyed.groupBy(r).agg(F.min(k).alias(k), F.count(F.lit(1)).alias(n))
+    least = rows.join(found.withColumnRenamed("_row", r).hint("merge"), r).groupBy(c).agg(F.min(F.struct(k, r, n)).alias("f"))
+    first = stored(least.select(F.col("f").getField(r).alias(r), F.col("f").getField(n).alias(n)), "dedup-first")
+    kept = keyed.join(first.hint("merge"), r)  # the kept rows grow with the corpus: never broadcast
+    own = [F.col(f"`{x}`") for x in docs.columns]
+    once, again = kept.where(F.col(n) == 1).select(*own), kept.where(F.col(n) > 1)
+    if again.select(r).isEmpty():
         return once
-    columns = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return once.unionByName(again.groupBy("_row").agg(*columns).drop("_row"))
+    columns = [F.first(x).alias(name) for x, name in zip(own, docs.columns)]
+    return once.unionByName(again.groupBy(r).agg(*columns).drop(r))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null and empty texts hold none; repeated rows are dropped or kept
+    alike; an empty table or benchmark drops nothing; other columns pass unread."""
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents of a mixture of BUDGET_SHARE of the tokens, none taken twice."""
-    keyed = docs.withColumn("_key", row_key(docs))
-    chosen = mixing.mix(keyed.select("_key", "source", "text"), "_key", budget_share=BUDGET_SHARE, repeats=1.0)
-    return keyed.join(chosen.select("_key").distinct().hint("merge"), "_key", "left_semi").select(*docs.columns)
+    """Keeps the documents of a mixture of BUDGET_SHARE of the tokens, none taken twice. Null sources are one source;
+    null texts have no token and cost nothing; rows that share an id are kept or dropped together; an empty table stays
+    empty; other columns may have any name."""
+    (k,) = fresh(docs, "_key")
+    keyed = docs.withColumn(k, row_key(docs))
+    chosen = mixing.mix(keyed.select(F.col(k).alias("_key"), "source", "text"), "_key", budget_share=BUDGET_SHARE, repeats=1.0)
+    taken = chosen.select(F.col("_key").alias(k)).distinct()
+    return keyed.join(taken.hint("merge"), k, "left_semi").select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document: doc_id, size, text_crc32, shard, slot."""
+    """Places every document: doc_id, size, text_crc32, shard, slot. Null ids and texts, repeated rows and empty tables
+    as in sharding.shard_rows; other columns are not read."""
     return sharding.shard_rows(docs.select("doc_id", "text"), SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
