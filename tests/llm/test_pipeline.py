@@ -53,3 +53,22 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_no_languages(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"u{chr(97 + x % 26)}{chr(97 + x // 26)}e" for x in rng.integers(0, 600, 80)) for _ in range(30)]
+    names = ("_key", "_row", "_c", "_n", "_u", "n", "block", "place", "h", "u", "rng", "id", "k")
+    rows = [(i, t, None, "s", 1, *[1000 * j + i for j in range(len(names))]) for i, t in enumerate([*texts, texts[0], " 1 "])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(P.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert docs.schema == spark.read.parquet(str(tmp_path / "documents.parquet")).schema, name
+            got = docs.collect()
+            assert len(got) == (31 if k == 0 else 30) if k < 3 else len(got) >= 25, name
+            assert all(r["lang"] is None and all(r[n] == 1000 * j + r["doc_id"] for j, n in enumerate(names)) for r in got), name
+    assert docs.count() >= 25
