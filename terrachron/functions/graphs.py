@@ -17,7 +17,8 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, root) of edges (a, b): labels spread to neighbours and jump to their label's label until none changes.
+    """(node, root) of edges (a, b): labels spread to neighbours and jump to their label's label until none changes; if
+    they still do after max_rounds, an error is raised.
 
     Jumping halves the distance to the least node, so a long snake takes logarithmically many rounds.
     """
@@ -33,6 +34,6 @@ def connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         jump = own.select(F.col("node").alias("new"), F.col("new").alias("far"))
         nxt = _cut(own.join(jump, "new", "left").select("node", "root", F.least("new", "far").alias("new")))
         if nxt.where("new <> root").isEmpty():
-            break
+            return labels
         labels = nxt.select("node", F.col("new").alias("root"))
-    return labels
+    raise RuntimeError(f"components are not complete after {max_rounds} rounds")

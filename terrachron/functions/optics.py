@@ -167,6 +167,23 @@ def q_rescale(spark, d):
     return rescale(o, scenes).select("pixel", "t", "band", r4(F.col("v")).alias("v"))
 
 
+def q_bits(spark, d):
+    return _words(spark, d).select("event_id", bits(F.col("q"), 6, 9).alias("value"))
+
+
+def q_rename(spark, d):
+    o = table(spark, d, "events").select("event_id", F.concat(F.lit("B"), (F.col("event_id") % 9).cast("string")).alias("band"))
+    return rename_bands(o).select("event_id", "band")
+
+
+def q_qa(spark, d):
+    """Each scene's mask by the QA band of its collection."""
+    name = {"scl": "Sentinel-2 L2A", "qa_pixel": "landsat-c2-l2"}
+    rules = {"scl": lambda q: clear_scl(q % 12), "qa_pixel": clear_landsat}
+    clear = F.when(F.col("event_id") % 2 == 0, rules[qa_band(name["scl"])](F.col("q"))).otherwise(rules[qa_band(name["qa_pixel"])](F.col("q")))
+    return _words(spark, d).select("event_id", clear.alias("clear"))
+
+
 _COEF = "CASE band " + " ".join(f"WHEN '{b}' THEN v * {a[0]} + {a[1]}" for b, a in zip(("click", "error", "purchase", "signup", "view"), ROY_2016.values())) + " END"
 QUERIES = {
     "qc_modis_summary": (_weight(modis_summary, 5), f"WITH {_WORDS} SELECT event_id, CAST(CASE WHEN q % 5 = 0 THEN 1.0 WHEN q % 5 = 1 THEN 0.5 WHEN q % 5 IN (2, 3) THEN 0.2 ELSE 0.0 END AS DOUBLE) AS weight FROM w"),
@@ -175,6 +192,9 @@ QUERIES = {
         f"WITH {_WORDS}, b AS (SELECT event_id, q & 3 AS c, (q >> 6) & 3 AS a, (q >> 12) & 1 AS s FROM w) SELECT event_id, CAST(CASE WHEN c = 1 OR a = 3 OR s = 1 THEN 0.2 WHEN c = 0 AND a <= 1 AND s = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS weight FROM b",
     ),
     "qc_s2_scl": (_weight(sentinel_scl, 12), f"WITH {_WORDS} SELECT event_id, CAST(CASE WHEN q % 12 IN (4, 5, 6, 7, 10) THEN 1.0 WHEN q % 12 = 8 THEN 0.5 ELSE 0.2 END AS DOUBLE) AS weight FROM w"),
+    "qc_bits": (q_bits, f"WITH {_WORDS} SELECT event_id, (q >> 6) & 15 AS value FROM w"),
+    "qa_by_collection": (q_qa, f"WITH {_WORDS} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN q % 12 IN (4, 5, 6, 7, 11) ELSE (q & 64) <> 0 END AS clear FROM w"),
+    "band_names": (q_rename, "SELECT event_id, CASE event_id % 9 WHEN 1 THEN 'B2' WHEN 2 THEN 'B3' WHEN 3 THEN 'B4' WHEN 4 THEN 'B5' WHEN 5 THEN 'B6' ELSE 'B' || (event_id % 9) END AS band FROM events"),
     "mask_clear_landsat": (_flag(clear_landsat), f"WITH {_WORDS} SELECT event_id, (q & 64) <> 0 AS clear FROM w"),
     "mask_clear_scl": (_flag(clear_scl, 12), f"WITH {_WORDS} SELECT event_id, q % 12 IN (4, 5, 6, 7, 11) AS clear FROM w"),
     "mask_shadow_bits": (_flag(clear_shadow_bits), f"WITH {_WORDS} SELECT event_id, (q & 8) = 0 AND (q & 16) = 0 AS clear FROM w"),

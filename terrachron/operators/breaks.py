@@ -8,6 +8,7 @@ share their design matrix, so its products are made once and the per-pixel work
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -200,35 +201,59 @@ def lite(series: DataFrame, start_time: float, frequency: int, *, order: int = 3
     return run_kernel(series, kernel, "valid int, n_valid int, n_breaks int, breakpoints array<int>, magnitude double")
 
 
-def _loess(n: int, window: int, degree: int = 1) -> np.ndarray:
-    """Smoothing matrix of local regressions with tricube weights on a regular grid."""
-    i = np.arange(n)
-    window = max(3, window | 1)
-    out = np.zeros((n, n))
-    for a in range(n):
-        d = np.abs(i - a)
-        q = np.sort(d)[min(window, n) - 1] * max(1.0, window / n)
-        w = np.clip(1 - (d / max(q, 1e-9)) ** 3, 0, None) ** 3
-        x = np.vander(i - a, degree + 1, increasing=True).astype(float)
-        out[a] = np.linalg.pinv(x.T @ (w[:, None] * x))[0] @ (x.T * w)
+def loess(n: int, window: int, degree: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Matrix that takes n equally spaced values to their local fits at the places `at` (all n by default): tricube weights
+    over the nearest `window` values, wider by half of what the window exceeds them (Cleveland and others 1990)."""
+    x = np.arange(n, dtype=float)
+    at = x if at is None else np.asarray(at, float)
+    out = np.zeros((len(at), n))
+    for row, a in enumerate(at):
+        d = np.abs(x - a)
+        h = np.sort(d)[min(window, n) - 1] + max(0, (window - n) // 2)
+        w = np.where(d <= 0.999 * h, (1 - np.minimum(d / max(h, 1e-12), 1) ** 3) ** 3, 0.0)
+        w = np.where(d <= 0.001 * h, 1.0, w)
+        design = np.vander(x - a, degree + 1, increasing=True)
+        out[row] = np.linalg.pinv(design.T @ (w[:, None] * design))[0] @ (design.T * w)
     return out
 
 
+def _average(n: int, k: int) -> np.ndarray:
+    """Matrix of the moving averages of k of n values."""
+    return sum(np.eye(n - k + 1, n, j) for j in range(k)) / k
+
+
+def _odd(x: float) -> int:
+    return int(np.ceil(x)) | 1
+
+
+@lru_cache(maxsize=64)
+def seasonal_operators(n: int, frequency: int) -> tuple[np.ndarray, np.ndarray]:
+    """(season, trend) of one round of STL with a periodic season, as matrices on the series without its trend and without
+    its season: the cycle-subseries are smoothed and carried one period past both ends, and what passes a low-pass filter
+    (averages of a period twice, of three, then a local line) is taken off."""
+    window = 10 * n + 1
+    cycle = np.zeros((n + 2 * frequency, n))
+    for k in range(min(frequency, n)):
+        m = len(range(k, n, frequency))
+        cycle[np.ix_(k + frequency * np.arange(m + 2), np.arange(k, n, frequency))] = loess(m, window, 0, np.arange(-1, m + 1))
+    low = loess(n, _odd(frequency), 1) @ _average(n + 2, 3) @ _average(n + frequency + 1, frequency) @ _average(n + 2 * frequency, frequency)
+    season = (np.eye(n, n + 2 * frequency, frequency) - low) @ cycle
+    return season, loess(n, _odd(1.5 * frequency / (1 - 1.5 / window)), 1)
+
+
 def periodic_season(y: np.ndarray, frequency: int, rounds: int = 2) -> np.ndarray:
-    """Season of the rows of y (no gaps) that repeats exactly: the phases' means of the series without its loess trend,
-    centred, the trend then found without the season (after Cleveland and others 1990)."""
+    """Season of the rows of y (no gaps) by STL (Cleveland and others 1990) without robustness weights; at the end each
+    phase gets its mean, so it repeats exactly."""
     n = y.shape[1]
-    smooth = _loess(n, int(np.ceil(1.5 * frequency)) | 1)
+    to_season, to_trend = seasonal_operators(n, frequency)
+    trend = np.zeros_like(y)
+    for _ in range(rounds):
+        season = (y - trend) @ to_season.T
+        trend = (y - season) @ to_trend.T
     phase = np.arange(n) % frequency
     mean = (phase[None] == np.arange(frequency)[:, None]).astype(float)
-    mean /= mean.sum(1, keepdims=True)
-    trend, season = np.zeros_like(y), np.zeros_like(y)
-    for _ in range(rounds):
-        c = (y - trend) @ mean.T
-        c -= c.mean(axis=1, keepdims=True)
-        season = c[:, phase]
-        trend = (y - season) @ smooth.T
-    return season
+    mean /= np.maximum(mean.sum(1, keepdims=True), 1)
+    return (season @ mean.T)[:, phase]
 
 
 def _stable(x: np.ndarray, y: np.ndarray, h: float, level: float) -> bool:

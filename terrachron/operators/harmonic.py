@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_quantile, lasso, robust_fit
-from ..sources.cubes import irregular, r4
+from ..sources.cubes import irregular, monthly, r4, to_series
 
 W = 2 * math.pi / 365.25
 LAMBDA, LEAST, LEAST_YEARS = 20.0, 12, 1.0
@@ -282,8 +282,24 @@ def _pixels(spark, d):
     return g.select("pixel", F.transform("s", lambda x: x["t"]).alias("ts"), F.transform("s", lambda x: x["q"]).alias("qa"), bands.alias("bands"))
 
 
+def _stacks(spark, d):
+    """Suppliers as pixels: months as days, six bands made of their quantities, every second one with a step in 1999."""
+    m = to_series(monthly(spark, d), 0, 82)
+    days = F.transform("ts", lambda t: (t * 30.4375).cast("int") + 728294)
+
+    def band(b):
+        step = lambda i: F.when((i >= 50) & (F.col("pixel") % 2 == 0), float((-1) ** b * 150 * (b + 1))).otherwise(0.0)
+        return F.transform("vs", lambda v, i: F.coalesce(v, F.lit(0.0)) * (0.05 * (b + 1)) + 400.0 * (b + 1) + step(i))
+
+    bands = [band(b) for b in range(6)]
+    qa = F.transform("vs", lambda v, i: F.when(v.isNull(), 255).otherwise(F.when((i + F.col("pixel")) % 13 == 0, 4).otherwise(0)).cast("int"))
+    return m.select("pixel", days.alias("ts"), qa.alias("qa"), F.array(*bands).alias("bands"))
+
+
 def q_ccdc(spark, d):
-    return ccdc(_pixels(spark, d)).select("pixel", F.size("segs").alias("n_segments"))
+    e = ccdc(_stacks(spark, d)).select("pixel", F.posexplode("segs").alias("segment", "s"))
+    rounded = lambda c: F.transform(c, lambda x: r4(x))
+    return e.select("pixel", "segment", "s.t_start", "s.t_end", "s.t_break", "s.category", "s.num_obs", r4(F.col("s.change_prob")).alias("change_prob"), rounded("s.rmse").alias("rmse"), rounded("s.magnitude").alias("magnitude"), F.transform("s.coefs", rounded).alias("coefs"))
 
 
 def q_gate(spark, d):
@@ -294,7 +310,8 @@ def q_gate(spark, d):
 def q_tmask(spark, d):
     p = _pixels(spark, d)
     s = p.select("pixel", "ts", F.get("bands", F.lit(1)).alias("vs"), F.get("bands", F.lit(4)).alias("swir"))
-    return tmask(s, 1000.0).select("pixel", F.size(F.filter("clear", lambda c: c)).alias("n_clear"))
+    e = tmask(s, 1000.0).select("pixel", F.explode(F.arrays_zip("ts", "clear")).alias("e"))
+    return e.select("pixel", F.col("e.ts").alias("t"), F.col("e.clear").alias("clear"))
 
 
 _GATE = """WITH ev AS (SELECT user_id AS pixel, CAST(ts AS DATE) AS t, event_type AS band, max(value) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),

@@ -261,6 +261,19 @@ SELECT pixel, t AS year, {sql4("CASE WHEN v IS NOT NULL THEN v WHEN va IS NULL T
 _INTERP = f"""WITH annual AS (SELECT l_suppkey AS pixel, CAST(year(l_shipdate) AS INTEGER) AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
 k AS (SELECT pixel, max(v) FILTER (t = 1996) AS a, max(v) FILTER (t = 1998) AS b, max(v) FILTER (t = 2001) AS c FROM annual GROUP BY pixel)
 SELECT pixel, t AS year, {sql4("CASE WHEN t <= 1996 THEN a WHEN t <= 1998 THEN a + (b - a) * (t - 1996) / 2.0 WHEN t <= 2001 THEN b + (c - b) * (t - 1998) / 3.0 ELSE c END")} AS value FROM annual JOIN k USING (pixel)"""
+#: The pentadiagonal system by recursion: elimination row by row, then back substitution; lam is 10, weights are 1.
+_WHITTAKER = f"""WITH RECURSIVE {MONTHLY}, x AS (SELECT pixel, t, v, row_number() OVER (PARTITION BY pixel ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY pixel) AS n FROM monthly),
+a AS (SELECT pixel, t, v, i, n, CAST(1 + 10.0 * CASE WHEN i = 0 OR i = n - 1 THEN 1 WHEN i = 1 OR i = n - 2 THEN CASE WHEN n = 3 THEN 4 ELSE 5 END WHEN n = 3 THEN 4 ELSE 6 END AS DOUBLE) AS a0,
+  CAST(CASE WHEN i = n - 1 THEN 0.0 WHEN i = 0 OR i = n - 2 THEN -20.0 ELSE -40.0 END AS DOUBLE) AS a1, CAST(CASE WHEN i < n - 2 THEN 10.0 ELSE 0.0 END AS DOUBLE) AS a2 FROM x),
+f AS (SELECT pixel, i, n, a0 AS d, a1 / a0 AS c, a2 / a0 AS e, CAST(v AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS d1, CAST(0 AS DOUBLE) AS e1, CAST(0 AS DOUBLE) AS z1 FROM a WHERE i = 0
+  UNION ALL SELECT g.pixel, g.i, g.n, g.d, (g.a1 - g.pd * g.pc * g.pe) / g.d, g.a2 / g.d, g.v - g.pc * g.pz - g.e1 * g.z1, g.pd, g.pe, g.pz FROM
+   (SELECT a.pixel, a.i, a.n, a.a1, a.a2, a.v, f.d AS pd, f.c AS pc, f.e AS pe, f.z AS pz, f.e1, f.z1, a.a0 - f.c * f.c * f.d - f.e1 * f.e1 * f.d1 AS d FROM f JOIN a ON a.pixel = f.pixel AND a.i = f.i + 1) g),
+b AS (SELECT pixel, i, z / d AS s, CAST(0 AS DOUBLE) AS s1 FROM f WHERE i = n - 1 UNION ALL SELECT f.pixel, f.i, f.z / f.d - f.c * b.s - f.e * b.s1, b.s FROM b JOIN f ON f.pixel = b.pixel AND f.i = b.i - 1)
+SELECT a.pixel, a.t, {sql4("CASE WHEN a.n < 3 THEN a.v ELSE b.s END")} AS value FROM a JOIN b USING (pixel, i)"""
+_TURNING = f"""WITH {MONTHLY}, x AS (SELECT pixel, v, row_number() OVER (PARTITION BY pixel ORDER BY t) - 1 AS i FROM monthly),
+d AS (SELECT pixel, i - 1 AS i, v - lag(v) OVER (PARTITION BY pixel ORDER BY i) AS d FROM x), s AS (SELECT pixel, i, sign(d) AS s FROM d WHERE abs(d) > 1e-9),
+k AS (SELECT pixel, i, s, lag(s) OVER w AS s0, lag(i) OVER w AS i0 FROM s WINDOW w AS (PARTITION BY pixel ORDER BY i))
+SELECT pixel, CAST((i0 + 1 + i) // 2 AS INTEGER) AS i, CAST(CASE WHEN s0 > 0 THEN 1 ELSE -1 END AS INTEGER) AS kind FROM k WHERE s <> s0"""
 QUERIES = {
     "savgol_5_2": (q_savgol, _SG),
     "nan_fill": (q_fill, _FILL),
@@ -269,8 +282,8 @@ QUERIES = {
     "moving_average": (q_average, f"WITH {MONTHLY} SELECT pixel, t, {sql4('CASE WHEN count(v) OVER w = 3 THEN avg(v) OVER w END')} AS value FROM monthly WINDOW w AS (PARTITION BY pixel ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"),
     "rank_avg": (q_rank, f"WITH {MONTHLY} SELECT pixel, t, rank() OVER (PARTITION BY pixel ORDER BY v) + (count(*) OVER (PARTITION BY pixel, v) - 1) / 2.0 AS value FROM monthly"),
     "adj_rmse": (q_adjusted, f"WITH {MONTHLY}, d AS (SELECT pixel, abs(v - lag(v) OVER (PARTITION BY pixel ORDER BY t)) AS d FROM monthly) SELECT pixel, median(d) AS adj_rmse FROM d GROUP BY pixel"),
-    "whittaker": (_kernel_query("whittaker", lam=10.0), None),
+    "whittaker": (_kernel_query("whittaker", lam=10.0), _WHITTAKER),
     "hants": (_kernel_query("hants", period=12, threshold=50.0), None),
     "desawtooth": (_kernel_query("desawtooth"), None),
-    "turning_points": (q_turning, None),
+    "turning_points": (q_turning, _TURNING),
 }

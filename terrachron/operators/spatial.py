@@ -64,8 +64,8 @@ def patches_of(cells: DataFrame, nodata: float = 0.0, max_rounds: int = 200) ->
     w = Window.partitionBy("y").orderBy("x")
     run = live.withColumn("g", F.col("x") - F.row_number().over(w))
     runs = run.groupBy("y", "g").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    # a run of 2**20 columns at most has a name of its own
-    runs = runs.withColumn("id", F.col("y").cast("long") * (1 << 20) + F.col("a"))
+    # rows and columns are 32-bit integers, so each run has a name of its own
+    runs = runs.withColumn("id", F.shiftleft(F.col("y").cast("long"), 32) + F.col("a"))
     cell = run.join(runs, ["y", "g"]).select("y", "x", "id")
     below = cell.select((F.col("y") + 1).alias("y"), "x", F.col("id").alias("up"))
     edges = cell.join(below, ["y", "x"]).select(F.col("id").alias("a"), F.col("up").alias("b")).distinct()

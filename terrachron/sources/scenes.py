@@ -65,6 +65,106 @@ def wrs2(tile: Column) -> tuple[Column, Column]:
     return F.when(ok, p), F.when(ok, r)
 
 
+#: Letters of the MGRS grid: latitude bands, columns (by zone modulo 3) and rows.
+_BANDS, _ROWS = "CDEFGHJKLMNPQRSTUVWX", "ABCDEFGHJKLMNPQRSTUV"
+_COLUMNS = ("STUVWXYZ", "ABCDEFGH", "JKLMNPQR")
+_MGRS = r"^\s*(?i:T)?(\d{1,2})([C-HJ-NP-X])([A-HJ-NP-Z])([A-HJ-NP-V])\s*$"
+
+
+def mgrs(tile: Column) -> tuple[Column, Column, Column]:
+    """Zone (1-60), band and 100 km square of an MGRS tile id such as T18LWK, null if it is none."""
+    up = F.upper(tile)
+    part = lambda k: F.regexp_extract(up, _MGRS.replace("(?i:T)", "T"), k)
+    zone = F.when(part(1) != "", part(1).cast("int"))
+    ok = zone.between(1, 60)
+    return F.when(ok, zone), F.when(ok, part(2)), F.when(ok, F.concat(part(3), part(4)))
+
+
+def tile_utm_bounds(tile: str, extent: float = 109_800.0) -> tuple[int, float, float, float, float]:
+    """EPSG code and west, south, east, north in metres of a tile: its square's north-west corner and the extent (a scene
+    of 10,980 pixels of 10 m overlaps its neighbours)."""
+    m = re.match(_MGRS, tile.upper().replace("(?i:T)", "T"), re.I)
+    if not m or not 1 <= int(m[1]) <= 60:
+        raise ValueError(f"{tile!r} is no MGRS tile")
+    zone, band, col, row = int(m[1]), m[2].upper(), m[3].upper(), m[4].upper()
+    letters = _COLUMNS[zone % 3]
+    if col not in letters:
+        raise ValueError(f"{tile!r}: zone {zone} has no column {col}")
+    west = (letters.index(col) + 1) * 100_000.0
+    # rows repeat every 2,000 km and are shifted by five letters in even zones; the band's middle tells which cycle
+    north_half = band >= "N"
+    lat = -80 + 8 * _BANDS.index(band) + (6 if band == "X" else 4)
+    near = utm_from_lonlat(6 * zone - 183, lat)[1] + (0 if north_half else 10_000_000.0)
+    low = (_ROWS.index(row) - (5 if zone % 2 == 0 else 0)) % 20 * 100_000.0
+    south = low + round((near - low - 50_000) / 2_000_000) * 2_000_000.0
+    north = south + 100_000.0
+    return (32_600 if north_half else 32_700) + zone, west, north - extent, west + extent, north
+
+
+_A, _F, _K0 = 6_378_137.0, 1 / 298.257223563, 0.9996
+
+
+def _series() -> tuple[float, list[float], list[float]]:
+    """Rectifying radius and the coefficients of Krueger's series in the third flattening, forward and back."""
+    n = _F / (2 - _F)
+    r = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    a = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    b = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    return r, a, b
+
+
+def utm_from_lonlat(lon: float, lat: float, zone: int | None = None) -> tuple[float, float]:
+    """Easting and northing (south: negative) on the WGS 84 ellipsoid."""
+    zone = zone or int((lon + 180) // 6) + 1
+    r, a, _ = _series()
+    e = math.sqrt(_F * (2 - _F))
+    phi, lam = math.radians(lat), math.radians(lon - (6 * zone - 183))
+    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t))
+    x = eta + sum(c * math.cos(2 * k * xi) * math.sinh(2 * k * eta) for k, c in enumerate(a, 1))
+    y = xi + sum(c * math.sin(2 * k * xi) * math.cosh(2 * k * eta) for k, c in enumerate(a, 1))
+    return 500_000 + _K0 * r * x, _K0 * r * y
+
+
+def lonlat_from_utm(east: float, north: float, zone: int) -> tuple[float, float]:
+    """The way back; north is negative in the south."""
+    r, _, b = _series()
+    e2 = _F * (2 - _F)
+    xi, eta = north / (_K0 * r), (east - 500_000) / (_K0 * r)
+    x = xi - sum(c * math.sin(2 * k * xi) * math.cosh(2 * k * eta) for k, c in enumerate(b, 1))
+    y = eta - sum(c * math.cos(2 * k * xi) * math.sinh(2 * k * eta) for k, c in enumerate(b, 1))
+    chi = math.asin(math.sin(x) / math.cosh(y))
+    phi = chi
+    for _ in range(8):  # conformal to geodetic latitude
+        phi = math.asin(math.tanh(math.atanh(math.sin(chi)) + math.sqrt(e2) * math.atanh(math.sqrt(e2) * math.sin(phi))))
+    return 6 * zone - 183 + math.degrees(math.atan2(math.sinh(y), math.cos(x))), math.degrees(phi)
+
+
+def tile_bounds(tile: str) -> tuple[float, float, float, float]:
+    """West, south, east, north in degrees of a tile's corners."""
+    epsg, w, s, e, n = tile_utm_bounds(tile)
+    zone, shift = epsg % 100, 0.0 if epsg < 32_700 else 10_000_000.0
+    at = [lonlat_from_utm(x, y - shift, zone) for x in (w, e) for y in (s, n)]
+    lon, lat = zip(*at)
+    return min(lon), min(lat), max(lon), max(lat)
+
+
+def area(of: str | tuple | list) -> tuple[float, float, float, float]:
+    """West, south, east, north of an area of interest: a bbox, a WKT polygon or point list, or one or several MGRS tiles."""
+    if isinstance(of, str) and re.match(r"\s*(MULTI)?POLYGON", of, re.I):
+        numbers = [tuple(map(float, p)) for p in re.findall(r"(-?[\d.]+(?:[eE]-?\d+)?)\s+(-?[\d.]+(?:[eE]-?\d+)?)", of)]
+        lon, lat = zip(*numbers)
+        return check_bbox((min(lon), min(lat), max(lon), max(lat)))
+    if isinstance(of, str):
+        return tile_bounds(of)
+    if len(of) == 4 and all(isinstance(x, (int, float)) for x in of):
+        return check_bbox(tuple(of))
+    if of and all(isinstance(x, str) for x in of):
+        each = [tile_bounds(x) for x in of]
+        return min(b[0] for b in each), min(b[1] for b in each), max(b[2] for b in each), max(b[3] for b in each)
+    raise ValueError("an area is a bbox, a polygon in WKT, or MGRS tiles")
+
+
 def pixel_grid(low: Column, high: Column, res: float, eps: float = 1e-6) -> tuple[Column, Column]:
     """Bounds snapped outward to whole multiples of the resolution; a millionth of a pixel is rounding."""
     return F.floor(low / res + eps) * res, F.ceil(high / res - eps) * res
@@ -159,7 +259,25 @@ def q_token(spark, d):
     return table(spark, d, "pages").select("page_id", with_token(F.coalesce("url", F.lit("")), "k").alias("href"))
 
 
+def q_search(spark, d):
+    s = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("t"), (F.col("o_custkey") % 100).cast("double").alias("cloud_cover"), (F.col("o_custkey") % 360 - 180).cast("double").alias("west"), (F.col("o_orderkey") % 160 - 80).cast("double").alias("south"))
+    s = s.withColumn("east", F.col("west") + 2).withColumn("north", F.col("south") + 2).withColumn("tile", path_row(F.col("o_custkey") % 233 + 1, F.lit(60)))
+    return search(s, start="1996-01-01", end="1997-06-30", bbox=(-75.0, -60.0, 20.0, 30.0)).select("o_orderkey", "t", "cloud_cover")
+
+
+def q_mgrs(spark, d):
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    at = lambda c, k: F.substring(letters, F.col("p_partkey") * k % 26 + 1, F.lit(1))
+    tile = F.concat(F.when(F.col("p_partkey") % 2 == 0, "T").otherwise(""), (F.col("p_partkey") % 70).cast("string"), at(0, 3), at(0, 5), at(0, 7))
+    zone, band, square = mgrs(tile)
+    return table(spark, d, "part").select("p_partkey", zone.alias("zone"), band.alias("band"), square.alias("square"))
+
+
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(p_partkey * {k} % 26 + 1 AS INTEGER), 1)"
+_GOOD = "p_partkey % 70 BETWEEN 1 AND 60 AND b >= 'C' AND b <= 'X' AND b NOT IN ('I', 'O') AND c NOT IN ('I', 'O') AND r <= 'V' AND r NOT IN ('I', 'O')"
 QUERIES = {
+    "scene_search": (q_search, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS t, CAST(o_custkey % 100 AS DOUBLE) AS cloud_cover FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND o_custkey % 100 <= 30 AND o_custkey % 360 - 180 BETWEEN -77 AND 20 AND o_orderkey % 160 - 80 BETWEEN -62 AND 30"),
+    "tile_mgrs": (q_mgrs, f"WITH p AS (SELECT p_partkey, {_LETTER.format(k=3)} AS b, {_LETTER.format(k=5)} AS c, {_LETTER.format(k=7)} AS r FROM part) SELECT p_partkey, CASE WHEN {_GOOD} THEN CAST(p_partkey % 70 AS INTEGER) END AS zone, CASE WHEN {_GOOD} THEN b END AS band, CASE WHEN {_GOOD} THEN c || r END AS square FROM p"),
     "scene_path_row": (q_path_row, "SELECT s_suppkey, lpad(CAST(s_suppkey % 233 + 1 AS VARCHAR), 3, '0') || lpad(CAST(s_suppkey % 7 + 60 AS VARCHAR), 3, '0') AS tile FROM supplier WHERE tile IN ('005064', '010062', '100060', '003062')"),
     "scene_names": (q_names, "SELECT event_id, CAST(ts AS DATE) AS t, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'value' END AS band FROM events"),
     "scene_token": (q_token, "SELECT page_id, coalesce(url, '') || CASE WHEN contains(coalesce(url, ''), '?') THEN '&' ELSE '?' END || 'access_token=k' AS href FROM pages"),
