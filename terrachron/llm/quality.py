@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, read_table, stored
+from .common import read_table, stored
+from .pii import let
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of the wider group that count beside a group's own.
@@ -103,16 +104,23 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("g2", one("lang", "source")).withColumn("g1", one("lang"))
 
 
+def _up_to(bins: Column, share: float) -> Column:
+    """Of sorted (bin, n, ..), the least bin up to which share of the rows lie. A row's statistics are logarithms, so a
+    group has some thousands of bins at most and its histogram fits in a row."""
+    total = F.aggregate(bins, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+    def step(s: Column, x: Column, total: Column) -> Column:
+        c = s["c"] + x["n"]
+        return F.struct(c.alias("c"), F.when(s["bin"].isNull() & (c >= share * total), x["bin"]).otherwise(s["bin"]).alias("bin"))
+
+    start = F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("bin"))
+    return let(total, lambda t: F.aggregate(bins, start, lambda s, x: step(s, x, t), lambda s: s["bin"]))
+
+
 def _order_statistic(counts: DataFrame, by: list[str], share: float) -> DataFrame:
     """counts: (*by, bin, n). The least bin up to which share of the group's rows lie."""
-    w = Window.partitionBy(*by)
-    return (
-        counts.withColumn("c", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("t", F.sum("n").over(w))
-        .where(F.col("c") >= F.lit(share) * F.col("t"))
-        .groupBy(*by)
-        .agg(F.min("bin").alias("bin"))
-    )
+    held = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("a"))
+    return held.select(*by, let(F.col("a"), lambda a: _up_to(a, share)).alias("bin"))
 
 
 def _long(rows: DataFrame, value, fine: float) -> DataFrame:
@@ -160,16 +168,34 @@ _C = [f"c{j}{i}" for i in range(len(DIMS)) for j in range(i + 1)]
 _L = [f"l{i}{j}" for i in range(len(DIMS)) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
-    """(by, m, c): means and scatter times the factor, with the floors added."""
+def _sums() -> list[Column]:
     d = range(len(DIMS))
-    sums = [F.avg(DIMS[j]).alias(f"m{j}") for j in d] + [F.avg(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i in d for j in range(i, len(DIMS))]
-    est = rows.groupBy(*by).agg(*sums)
-    for i in d:
+    first = [F.sum(DIMS[j]).alias(f"s{j}") for j in d]
+    return [F.count(F.lit(1)).alias("n"), *first, *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i in d for j in range(i, len(DIMS))]]
+
+
+_SUMS = [*[f"s{j}" for j in range(len(DIMS))], *[f"p{i}{j}" for i in range(len(DIMS)) for j in range(i, len(DIMS))]]
+
+
+def _moments(sums: DataFrame, factor: float) -> DataFrame:
+    """Adds m and c to sums: means, and scatter times the factor with the floors added."""
+    for j in range(len(DIMS)):
+        sums = sums.withColumn(f"m{j}", F.col(f"s{j}") / F.col("n"))
+    for i in range(len(DIMS)):
         for j in range(i, len(DIMS)):
-            cov = factor * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-            est = est.withColumn(f"c{i}{j}", F.greatest(cov, F.lit(0.0)) + FLOOR[i] ** 2 if i == j else cov)
-    return est
+            cov = factor * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
+            sums = sums.withColumn(f"c{i}{j}", F.greatest(cov, F.lit(0.0)) + FLOOR[i] ** 2 if i == j else cov)
+    return sums
+
+
+def _nearest(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """(g, start, n, sums) of the KEEP share of each group's rows that lie nearest to its estimate: sums by bin of the
+    distance, counted before they are shuffled; then the bins of a group in a row."""
+    far = rows.join(params, "g").select("g", "start", *DIMS, _bin(_distance()).alias("bin"))
+    held = far.groupBy("g", "start", "bin").agg(*_sums()).groupBy("g", "start").agg(F.array_sort(F.collect_list(F.struct("bin", "n", *_SUMS))).alias("a"))
+    near = held.select("g", "start", let(F.col("a"), lambda a: let(_up_to(a, KEEP), lambda most: F.filter(a, lambda x: x["bin"] <= most))).alias("a"))
+    total = lambda c, zero: F.aggregate("a", zero, lambda s, x: s + x[c]).alias(c)
+    return near.select("g", "start", total("n", F.lit(0).cast("long")), *[total(c, F.lit(0.0)) for c in _SUMS])
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
@@ -183,16 +209,13 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         for j in range(i + 1):
             start = start.withColumn(f"c{j}{i}", F.pow(F.greatest(F.lit(FLOOR[i]), 1.4826 * F.col(f"s{i}")), 2) if i == j else F.lit(0.0))
     names = ["g", "start", *_M, *_C]
-    both = start.select(*names).unionByName(_moments(rows, ["g"], 1.0).withColumn("start", F.lit(1)).select(*names))
+    both = start.select(*names).unionByName(_moments(rows.groupBy("g").agg(*_sums()), 1.0).withColumn("start", F.lit(1)).select(*names))
     params = stored(_cholesky(both).select(*names, *_L), "quality-start")
     cut = chi2_quantile(KEEP, len(DIMS))
     factor = KEEP / _chi2_cdf(cut, len(DIMS) + 2)
     size = sum((F.log(F.col(f"l{j}{j}")) for j in d[1:]), F.log(F.col("l00"))) * 2
     for step in range(STEPS):
-        far = rows.join(params, "g").select("g", "start", *DIMS, _bin(_distance()).alias("bin"))
-        near = stored(_order_statistic(far.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["g", "start"], KEEP).withColumnRenamed("bin", "most"), "quality-near")
-        kept = far.join(near, ["g", "start"]).where("bin <= most")
-        new = stored(_cholesky(_moments(kept, ["g", "start"], factor)).select(*names, *_L), "quality-params")
+        new = stored(_cholesky(_moments(_nearest(rows, params), factor)).select(*names, *_L), "quality-params")
         moved = new.withColumn("now", size).join(params.select("g", "start", size.alias("then")), ["g", "start"])
         params = new
         # the first step also scales the scatter, so only later ones are compared
