@@ -28,16 +28,31 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What the session had before arrow_rows, by application.
+_BATCHES: dict[str, dict[str, str | None]] = {}
+_SIZES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def arrow_rows(df: DataFrame, records: int = 1000, size: int = 8 << 20) -> DataFrame:
     """Bound the Arrow batches of the session's Python operators: whole texts are wide rows, and a worker holds a batch
-    at a time. Returns df."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    at a time. Spark reads these settings when a plan runs, so they stay until `restore`. Returns df."""
+    spark = df.sparkSession
+    if int(spark.conf.get(_SIZES[0])) > records:
+        _BATCHES.setdefault(spark.sparkContext.applicationId, {k: spark.conf.get(k, None) for k in _SIZES})
+        spark.conf.set(_SIZES[0], str(records))
+        spark.conf.set(_SIZES[1], str(size))
     return df
 
 
+def restore(spark: SparkSession) -> None:
+    """Give the session the batch sizes that it had before any corpus operator."""
+    for k, v in _BATCHES.pop(spark.sparkContext.applicationId, {}).items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .common import restore
 from .decontam import op7_decontaminate
 from .langid import op2_language
 from .mixing import op6_mixing
@@ -14,6 +15,9 @@ from .urlfilter import op8_urls
 from .warc import op1_warc
 
 
+__all__ = ["oracle_sql", "queries", "restore"]
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
