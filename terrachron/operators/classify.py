@@ -60,43 +60,70 @@ class TempCNN:
         return h @ self.w["out"].T + self.w["out_b"]
 
 
+def _group_norm(x: np.ndarray, groups: int, scale: np.ndarray, shift: np.ndarray, eps: float = 1e-5) -> np.ndarray:
+    """x (pixels, steps, channels): each group of channels to mean 0 and variance 1 over its channels and all steps."""
+    n, t, c = x.shape
+    g = x.reshape(n, t, groups, c // groups)
+    g = (g - g.mean(axis=(1, 3), keepdims=True)) / np.sqrt(g.var(axis=(1, 3), keepdims=True) + eps)
+    return g.reshape(n, t, c) * scale + shift
+
+
 class LightAttention:
-    """Inference of a lightweight temporal attention encoder (Garnot and Landrieu 2020): a learned query a head, keys of
-    the steps with sinusoidal codes of their days, a weighted mean of the head's channels, and a linear layer."""
+    """Inference of a lightweight temporal attention encoder (Garnot and Landrieu 2020): a linear embedding and group
+    norms, sinusoidal codes of the days that all heads share, a learned master query a head against keys of the steps, a
+    weighted mean of each head's own channels, a layer with batch norm and ReLU, and a linear layer. Weights come as
+    arrays; `random` makes some for tests."""
 
-    def __init__(self, embed: np.ndarray, keys: np.ndarray, query: np.ndarray, out: np.ndarray, tau: float = 1000.0):
-        self.embed, self.keys, self.query, self.out, self.tau = embed, keys, query, out, tau
+    def __init__(self, weights: dict[str, np.ndarray], tau: float = 1000.0):
+        self.w, self.tau = weights, tau
 
     @classmethod
-    def random(cls, bands: int, classes: int, *, heads: int = 4, width: int = 32, dim: int = 8, seed: int = 0) -> LightAttention:
+    def random(cls, bands: int, classes: int, *, heads: int = 16, width: int = 128, dim: int = 8, hidden: int = 128, seed: int = 0) -> LightAttention:
         g = np.random.default_rng(seed)
-        return cls(g.normal(0, 1, (width, bands)) / math.sqrt(bands), g.normal(0, 1, (heads * dim, width)) / math.sqrt(width), g.normal(0, 1, (heads, dim)), g.normal(0, 1, (classes, width)) / math.sqrt(width))
+        normal = lambda *shape: g.normal(0, 1 / math.sqrt(shape[-1]), shape)
+        one, zero = np.ones, np.zeros
+        return cls({
+            "embed": normal(width, bands), "embed_b": zero(width), "in_scale": one(width), "in_shift": zero(width),
+            "keys": normal(heads * dim, width), "keys_b": zero(heads * dim), "query": g.normal(0, 1, (heads, dim)),
+            "mlp": normal(hidden, width), "mlp_b": zero(hidden), "bn_scale": one(hidden), "bn_shift": zero(hidden), "out_scale": one(hidden), "out_shift": zero(hidden),
+            "out": normal(classes, hidden), "out_b": zero(classes),
+        })
+
+    def attention(self, x: np.ndarray, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pixels, heads, steps) weights of the steps, and the embedded steps."""
+        w = self.w
+        heads, dim = w["query"].shape
+        e = _group_norm(x @ w["embed"].T + w["embed_b"], heads, w["in_scale"], w["in_shift"])
+        own = e.shape[2] // heads
+        i = np.arange(own)
+        code = days[:, :, None] / self.tau ** (2 * (i // 2) / own)
+        e = e + np.tile(np.where(i % 2 == 0, np.sin(code), np.cos(code)), (1, 1, heads))
+        k = (e @ w["keys"].T + w["keys_b"]).reshape(*e.shape[:2], heads, dim)
+        a = np.einsum("nthd,hd->nht", k, w["query"]) / math.sqrt(dim)
+        a = np.exp(a - a.max(axis=2, keepdims=True))
+        return a / a.sum(axis=2, keepdims=True), e
 
     def __call__(self, x: np.ndarray, days: np.ndarray) -> np.ndarray:
         """Logits of x (pixels, steps, bands) at days (pixels, steps)."""
-        e = x @ self.embed.T
-        d = e.shape[2]
-        rate = self.tau ** (-2 * (np.arange(d) // 2) / d)
-        code = days[:, :, None] * rate
-        e = e + np.where(np.arange(d) % 2 == 0, np.sin(code), np.cos(code))
-        heads, dim = self.query.shape
-        k = (e @ self.keys.T).reshape(*e.shape[:2], heads, dim)
-        a = np.einsum("nthd,hd->nht", k, self.query) / math.sqrt(dim)
-        a = np.exp(a - a.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        parts = e.reshape(*e.shape[:2], heads, d // heads)
-        return np.einsum("nht,nthc->nhc", a, parts).reshape(len(x), d) @ self.out.T
-
-
-def infer(series: DataFrame, model) -> DataFrame:
-    """(pixel, class, logits) of one-band series by a network; nulls are 0."""
-
-    def kernel(ts, vs):
-        v = np.nan_to_num(vs)
-        z = model(v[:, None, :]) if isinstance(model, TempCNN) else model(v[:, :, None], ts.astype(float))
+        w = self.w
+        a, e = self.attention(x, days)
+        parts = e.reshape(*e.shape[:2], a.shape[1], -1)
+        h = np.einsum("nht,nthc->nhc", a, parts).reshape(len(x), -1)
+        h = np.maximum((h @ w["mlp"].T + w["mlp_b"]) * w["bn_scale"] + w["bn_shift"], 0)
+        h = _group_norm(h[:, None], a.shape[1], w["out_scale"], w["out_shift"])[:, 0]
+        return h @ w["out"].T + w["out_b"]
+
+
+def infer(series: DataFrame, model, bands: tuple[str, ...] = ("vs",)) -> DataFrame:
+    """(pixel, class, logits) of series by a network; bands are the array columns, all as long as ts; nulls are 0."""
+
+    def kernel(ts, vs, *more):
+        v = np.stack([vs, *[np.array([[np.nan if x is None else x for x in r] for r in c], float).reshape(vs.shape) for c in more]], axis=1)
+        v = np.nan_to_num(v)
+        z = model(v) if isinstance(model, TempCNN) else model(v.transpose(0, 2, 1), ts.astype(float))
         return {"class": z.argmax(axis=1).astype(np.int32), "logits": z}
 
-    return run_kernel(series, kernel, "class int, logits array<double>")
+    return run_kernel(series.withColumnRenamed(bands[0], "vs"), kernel, "class int, logits array<double>", extra=bands[1:])
 
 
 def _vectors(spark, d):
@@ -128,7 +155,8 @@ def q_tempcnn(spark, d):
 
 
 def q_attention(spark, d):
-    return infer(_series(spark, d), LightAttention.random(1, 5)).select("pixel", "class", r4(F.array_max("logits")).alias("top"))
+    two = _series(spark, d).withColumn("w", F.reverse("vs"))
+    return infer(two, LightAttention.random(2, 5), ("vs", "w")).select("pixel", "class", r4(F.array_max("logits")).alias("top"))
 
 
 QUERIES = {"rf_classify": (q_forest, None), "rf_mask": (q_mask, "SELECT vec_id, NOT ((vec_id % 3 = 0 OR embedding[1] = 0) AND (vec_id % 4 = 0 OR embedding[2] = 0)) AS classified FROM embeddings"), "tempcnn": (q_tempcnn, None), "light_attention": (q_attention, None)}

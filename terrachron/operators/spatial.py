@@ -119,6 +119,27 @@ def nearest(axis: DataFrame, points: DataFrame) -> DataFrame:
     return points.join(F.broadcast(a)).select("id", best["i"].alias("i"))
 
 
+#: Words and band numbers by which a band's role is known (fixed values: Sentinel-2 and Landsat 8 and 9 numbering).
+ROLES = {
+    "red": ("red", "b04", "b4", "sr_b4"),
+    "green": ("green", "b03", "b3", "sr_b3"),
+    "blue": ("blue", "b02", "b2", "sr_b2"),
+    "nir": ("nir", "nir08", "b08", "b8", "b5", "b05", "sr_b5"),
+    "index": ("ndvi", "evi", "nbr", "ndwi", "kndvi", "savi"),
+}
+
+
+def band_roles(names: list[str]) -> dict[str, int]:
+    """Which band of a cube shows red, green and blue, and which is an index: places by role, for a display. Names are
+    matched whole, in any case; with no name for the three colours the first three bands stand for them (one band for
+    all three, if there are fewer)."""
+    low = [n.strip().lower() for n in names]
+    out = {role: low.index(n) for role, words in ROLES.items() for n in reversed(words) if n in low}
+    if not {"red", "green", "blue"} <= set(out) and names:
+        out |= dict(zip(("red", "green", "blue"), (0, 1, 2) if len(names) >= 3 else (0, 0, 0)))
+    return out
+
+
 def accuracy(pairs: DataFrame) -> DataFrame:
     """(accuracy, kappa) of pairs (truth, predicted); a kappa without a value is 0."""
     m = pairs.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
