@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import run_kernel
-from ..sources.cubes import monthly, r4, sql4, to_series
+from ..sources.cubes import MONTHLY, monthly, r4, sql4, to_series
 
 LEVELS = (0.2, 0.15, 0.1, 0.05, 0.025, 0.01)
 #: Own simulations (numpy seed 20240101, 6,000 Brownian paths of 400 steps a unit): quantiles at 1 - LEVELS of the
@@ -352,9 +352,48 @@ def q_season(spark, d):
     return run_kernel(_grid(spark, d), kernel, "season array<double>")
 
 
+#: The monitor of order 1: the design's columns and the values are made orthogonal one after the other over the history.
+_FIT = "sum({a} * {b}) FILTER (hist) OVER w / sum({a} * {a}) FILTER (hist) OVER w"
+_MONITOR = f"""WITH {MONTHLY}, x AS (SELECT pixel, t AS i, CAST(v AS DOUBLE) AS v, t < 48 AS hist, t + 1.0 AS a, cos(2 * pi() * (1995.0 + t / 12.0)) AS b, sin(2 * pi() * (1995.0 + t / 12.0)) AS c FROM monthly WHERE t <= 82),
+g1 AS (SELECT pixel, i, hist, count(*) FILTER (hist) OVER w AS n, {", ".join(f"{k} - avg({k}) FILTER (hist) OVER w AS {k}" for k in "vabc")} FROM x WINDOW w AS (PARTITION BY pixel)),
+g2 AS (SELECT pixel, i, hist, n, {", ".join(f"{k} - a * ({_FIT.format(a='a', b=k)}) AS {k}" for k in "vbc")} FROM g1 WINDOW w AS (PARTITION BY pixel)),
+g3 AS (SELECT pixel, i, hist, n, {", ".join(f"{k} - b * ({_FIT.format(a='b', b=k)}) AS {k}" for k in "vc")} FROM g2 WINDOW w AS (PARTITION BY pixel)),
+g4 AS (SELECT pixel, i, hist, n, v - c * ({_FIT.format(a='c', b='v')}) AS e FROM g3 WINDOW w AS (PARTITION BY pixel)),
+s AS (SELECT pixel, i, hist, n, e, CAST(floor(0.25 * n) AS INTEGER) AS k, sqrt(sum(e * e) FILTER (hist) OVER w / nullif(n - 4, 0)) AS sigma, row_number() OVER o AS pos, sum(e) OVER o AS cum FROM g4 WINDOW w AS (PARTITION BY pixel), o AS (PARTITION BY pixel ORDER BY i)),
+h AS (SELECT s.pixel, min(s.i) AS i FROM s JOIN s p ON p.pixel = s.pixel AND p.pos = s.pos - s.k WHERE s.pos > s.n
+  AND abs(s.cum - p.cum) / (s.sigma * sqrt(s.n)) > {monitor_critical(0.25, 10, 0.05)!r} * sqrt(2 * greatest(1.0, ln(s.pos / s.n))) GROUP BY s.pixel),
+q AS (SELECT pixel, any_value(n) AS n, any_value(k) AS k, any_value(sigma) AS sigma, median(e) FILTER (NOT hist) AS magnitude FROM s GROUP BY pixel)
+SELECT pixel, CAST(ok AS INTEGER) AS valid, CAST(ok AND h.i IS NOT NULL AS INTEGER) AS has_break, CASE WHEN ok THEN CAST(h.i AS DOUBLE) END AS breakpoint_idx, CAST(n AS DOUBLE) AS n_history,
+  CASE WHEN ok THEN {sql4("magnitude")} END AS magnitude, CASE WHEN ok THEN {sql4("sigma")} END AS sigma FROM (SELECT *, k > 1 AND n > 4 AND n >= 10 AS ok FROM q) LEFT JOIN h USING (pixel)"""
+def _lite_sql(most: int) -> str:
+    """Optimal partitions of a line by prefix sums: the residuals of all segments, then one join for each break more. The
+    trend's column is centred in each segment, so two sums give its residual."""
+    step = """b{m} AS (SELECT r.pixel, r.j, min_by(list_append(b.cut, r.i), b.cost + r.rss) AS cut, min(b.cost + r.rss) AS cost FROM b{l} b JOIN r ON r.pixel = b.pixel AND r.i = b.j GROUP BY r.pixel, r.j)"""
+    sums = "n, v, i, vv, ii, vi"
+    return f"""WITH {MONTHLY}, x AS (SELECT pixel, t, CAST(v AS DOUBLE) - avg(CAST(v AS DOUBLE)) OVER (PARTITION BY pixel) AS y, t + 1.0 AS a, row_number() OVER (PARTITION BY pixel ORDER BY t) AS k, count(*) OVER (PARTITION BY pixel) AS nn FROM monthly WHERE t <= 82),
+c AS (SELECT pixel, k, CAST(k AS DOUBLE) AS n, sum(y) OVER w AS v, sum(a) OVER w AS i, sum(y * y) OVER w AS vv, sum(a * a) OVER w AS ii, sum(a * y) OVER w AS vi FROM x WINDOW w AS (PARTITION BY pixel ORDER BY k)
+  UNION ALL SELECT DISTINCT pixel, 0, {", ".join(["CAST(0 AS DOUBLE)"] * 6)} FROM x),
+z AS (SELECT pixel, any_value(nn) AS nn, greatest(CAST(floor(0.15 * any_value(nn)) AS INTEGER), 3) AS least FROM x GROUP BY pixel),
+d AS (SELECT p.pixel, p.k AS i0, q.k AS j0, {", ".join(f"q.{c} - p.{c} AS {c}" for c in sums.split(", "))} FROM c p JOIN c q ON q.pixel = p.pixel JOIN z ON z.pixel = p.pixel WHERE q.k - p.k >= least),
+r AS MATERIALIZED (SELECT pixel, i0 AS i, j0 AS j, greatest(0.0, (vv - v * v / n) - (vi - v * i / n) * (vi - v * i / n) / (ii - i * i / n)) AS rss, v, n, i AS si, ii, vi FROM d),
+b0 AS (SELECT pixel, j, CAST([] AS BIGINT[]) AS cut, rss AS cost FROM r WHERE i = 0),
+{("," + chr(10)).join(step.format(m=m, l=m - 1) for m in range(1, most + 1))},
+a AS ({" UNION ALL ".join(f"SELECT b.pixel, {m} AS m, cut, nn, nn * (ln(greatest(cost, 1e-300)) + 1 - ln(nn) + ln(2 * pi())) + 0.299 * pow(ln(nn), 2.1) * 3 * {m + 1} AS score FROM b{m} b JOIN z ON z.pixel = b.pixel AND b.j = z.nn" for m in range(most + 1))}),
+best AS (SELECT pixel, any_value(nn) AS nn, arg_min(m, score) AS m, arg_min(cut, score) AS cut FROM a GROUP BY pixel),
+ok AS (SELECT z.pixel, z.nn, z.nn >= 20 AS valid, CASE WHEN floor(0.15 * z.nn) > 2 THEN coalesce(best.m, 0) ELSE 0 END AS m, CASE WHEN floor(0.15 * z.nn) > 2 THEN coalesce(best.cut, []) ELSE [] END AS cut FROM z LEFT JOIN best USING (pixel))
+SELECT ok.pixel, CAST(valid AS INTEGER) AS valid, CAST(ok.nn AS INTEGER) AS n_valid, CAST(CASE WHEN valid THEN m ELSE 0 END AS INTEGER) AS n_breaks,
+  coalesce((SELECT string_agg(CAST(x.t AS VARCHAR), ',' ORDER BY x.t) FROM x WHERE x.pixel = ok.pixel AND valid AND list_contains(ok.cut, x.k)), '') AS breakpoints FROM ok"""
+
+
+def q_lite_trend(spark, d):
+    out = lite(_grid(spark, d), 1995.0, 12, order=0)
+    return out.select("pixel", "valid", "n_valid", "n_breaks", F.array_join(F.coalesce("breakpoints", F.array().cast("array<int>")), ",").alias("breakpoints"))
+
+
 QUERIES = {
+    "bfast_lite_trend": (q_lite_trend, _lite_sql(5)),
     "design_matrix": (q_design, "SELECT CAST(i AS INTEGER) AS i, 1.0::DOUBLE AS c0, CAST(i + 1 AS DOUBLE) AS trend, " + ", ".join(f"{sql4(f'{f}(2 * pi() * {k} * (i / 12.0))')} AS {f}{k}" for f in ("cos", "sin") for k in (1, 2, 3)) + " FROM range(83) r(i)"),
-    "bfast_monitor_o1": (q_monitor, None),
+    "bfast_monitor_o1": (q_monitor, _MONITOR),
     "bfast_lite": (q_lite, None),
     "bfast_classic": (q_classic, None),
     "stl_season": (q_season, None),
