@@ -2,7 +2,7 @@
 
 The rules' verdicts are the labels: the trees are trained on the URLs that a rule decides, and judge the others by
 length, depth, share of digits, entropy of the characters, parameter counts and how often hosts of the same suffix
-were blocked.
+were blocked, where that is known.
 """
 
 from __future__ import annotations
@@ -105,8 +105,11 @@ def judge(urls: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
     def full(df: DataFrame, own: bool) -> DataFrame:
         got = df.join(rate.hint("merge"), "suffix", "left")
         b, m = F.coalesce("b", F.lit(0.0)), F.coalesce("m", F.lit(0.0))
-        if own:  # a row's own label isn't part of its statistics
-            b, m = b - F.col("label"), m - 1
+        if own:
+            # a row's own label isn't part of its statistics, and every second suffix is learned from as one that no label
+            # is known of: else the trees would look at nothing but the suffix, and guess where it is new
+            known = F.pmod(F.xxhash64("suffix", F.lit(23)), F.lit(2)) == 0
+            b, m = F.when(known, b - F.col("label")).otherwise(0.0), F.when(known, m - 1).otherwise(0.0)
         return got.withColumn("suffix_rate", (b + 4 * prior) / (m + 4)).withColumn("suffix_seen", F.log1p(F.greatest(m, F.lit(0.0))))
 
     learn = stored(full(lexical(named.where(draw), url).withColumn("label", label), True).select(*FEATURES, "label"), "url-learn")

@@ -686,3 +686,26 @@ def test_written_shards_hold_all_rows(spark):
     path = sharding.write_shards(df, sharding.shard_rows(df, 4))
     back = spark.read.parquet(path)
     assert back.count() == 300 and back.select("_shard").distinct().count() == 4
+
+
+def test_trees_judge_hosts_that_no_rule_names(spark):
+    """Held out: rules name every second host, the verdicts of the others are known from how the URLs were made."""
+    rng = np.random.default_rng(21)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows, truth, rules = [], {}, []
+    for h in range(240):
+        bad = h % 3 == 0
+        name = "".join(rng.choice(letters, 6)) + (str(rng.integers(10, 999)) if bad and rng.random() < 0.7 else "")
+        host = f"{name}.{'top' if bad and rng.random() < 0.6 else rng.choice(['com', 'org', 'top'])}"
+        if h % 2 == 0:
+            rules.append(("block" if bad else "allow", host, "/"))
+        for _ in range(6):
+            path = "/".join("".join(rng.choice(letters, 5)) for _ in range(rng.integers(1, 4)))
+            query = "?" + "&".join(f"{rng.choice(letters)}={rng.integers(0, 10**8)}" for _ in range(rng.integers(1, 5))) if rng.random() < (0.8 if bad else 0.1) else ""
+            truth[len(rows)] = (h % 2 == 0, bad)
+            rows.append((len(rows), f"http://{host}/{path}{query}"))
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=tuple(rules)).collect()}
+    free = [i for i, (ruled, _) in truth.items() if not ruled]
+    assert all((got[i]["rule"] is not None) == ruled for i, (ruled, _) in truth.items())
+    right = np.mean([(got[i]["verdict"] == "block") == truth[i][1] for i in free])
+    assert right >= 0.85, right
