@@ -46,7 +46,7 @@ def between(low, high, *names):
 
 #: What every row of a query without SQL must meet.
 MEETS = {
-    "snic": between(-1, 10**9, "segment"),
+    "snic": between(-1, 1 << 62, "segment"),
     "bfast_monitor_o1": lambda r: r["valid"] in (0, 1) and (not r["has_break"] or r["valid"]),
     "ccdc": lambda r: r["t_start"] <= r["t_end"] and (r["t_break"] == 0 or r["t_break"] > r["t_end"]) and 0 <= r["change_prob"] <= 1 and len(r["coefs"]) == 6 and min(r["rmse"]) >= 0,
     "tmask": lambda r: r["clear"] in (True, False),
