@@ -609,7 +609,9 @@ def test_unlabelled_rows_teach_too(spark):
         bad = rng.random() < 0.2
         if bad:
             w[3], w[20] = rng.choice(["grubbish", "scurvy"]), "oafish"
-            w[30] = "newslur" if i >= 500 else w[30]  # only in rows that nobody labelled
+            if i >= 500:  # a word that only rows have that nobody labelled; half of them lack one of the others
+                w[30] = "newslur"
+                w[20] = "oafish" if rng.random() < 0.5 else w[21]
         rows.append((i, " ".join(w), int(bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
     free = df.where("doc_id >= 500").drop("label")
