@@ -114,13 +114,22 @@ class LightAttention:
         return h @ w["out"].T + w["out_b"]
 
 
+#: Pixels times steps that a network works on at once: its layers hold some arrays of so many cells a channel.
+CELLS = 8192
+
+
 def infer(series: DataFrame, model, bands: tuple[str, ...] = ("vs",)) -> DataFrame:
-    """(pixel, class, logits) of series by a network; bands are the array columns, all as long as ts; nulls are 0."""
+    """(pixel, class, logits) of series by a network; bands are the array columns, all as long as ts; nulls are 0. A
+    batch goes through the network in parts of CELLS, so memory does not follow the batch."""
 
-    def kernel(ts, vs, *more):
+    def part(ts, vs, *more):
         v = np.stack([vs, *[np.array([[np.nan if x is None else x for x in r] for r in c], float).reshape(vs.shape) for c in more]], axis=1)
         v = np.nan_to_num(v)
-        z = model(v) if isinstance(model, TempCNN) else model(v.transpose(0, 2, 1), ts.astype(float))
+        return model(v) if isinstance(model, TempCNN) else model(v.transpose(0, 2, 1), ts.astype(float))
+
+    def kernel(ts, vs, *more):
+        n = max(1, CELLS // max(1, ts.shape[1]))
+        z = np.concatenate([part(*[a[i : i + n] for a in (ts, vs, *more)]) for i in range(0, len(ts), n)])
         return {"class": z.argmax(axis=1).astype(np.int32), "logits": z}
 
     return run_kernel(series.withColumnRenamed(bands[0], "vs"), kernel, "class int, logits array<double>", extra=bands[1:])
