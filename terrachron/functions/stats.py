@@ -121,6 +121,91 @@ def lasso(x: np.ndarray, y: np.ndarray, lam: float, rounds: int = 500, tol: floa
     return np.r_[ym - mean @ b, b]
 
 
+def robust_fits(x: np.ndarray, y: np.ndarray, ok: np.ndarray, kind: str = "bisquare", tune: float = 4.685, rounds: int = 5) -> np.ndarray:
+    """robust_fit of many: x (fits, steps, terms), y and ok (fits, steps); only the steps that are ok count.
+
+    Each fit is solved in its own orthonormal basis, where the weighted products stay well conditioned, and leaves the work
+    when it has converged. Those of dependent terms, or with weights that leave too few steps, go the plain way."""
+    x, y, n, p = x * ok[:, :, None], np.where(ok, y, 0.0), ok.sum(axis=1), x.shape[2]
+    u, d, v = np.linalg.svd(x, full_matrices=False)
+    plain = (n < p) | (d[:, -1] <= 1e-10 * d[:, 0])
+    back = np.einsum("fqp,fq->fpq", v, 1 / np.where(d > 0, d, 1.0))
+    leverage = np.clip((u * u).sum(axis=2), 0, 0.9999)
+    first = max(0, p - 1)
+    low, high = (first + (n - first - 1) // 2).clip(0), (first + (n - first) // 2).clip(0, x.shape[1] - 1)
+    floor = 1e-6 * np.maximum(1.0, np.abs(y).max(axis=1, initial=0))
+    c = np.einsum("fsp,fs->fp", u, y)
+    b = np.einsum("fpq,fq->fp", back, c)
+    live = np.flatnonzero(~plain)
+    for _ in range(rounds):
+        if not len(live):
+            break
+        ul, yl = u[live], y[live]
+        r = yl - (ul @ c[live][..., None])[..., 0]
+        adj = np.abs(r / np.sqrt(1 - leverage[live]) if kind == "bisquare" else r)
+        order = np.sort(np.where(ok[live], adj, np.inf), axis=1)
+        at = np.arange(len(live))
+        s = (order[at, low[live]] + order[at, high[live]]) / 2 / 0.6745
+        go = s > floor[live]
+        live, ul, yl, adj, s = live[go], ul[go], yl[go], adj[go], s[go]
+        a = adj / (tune * s)[:, None]
+        w = np.where(a < 1, (1 - a * a) ** 2, 0) if kind == "bisquare" else np.where(a > 1, 1 / np.maximum(a, 1e-12), 1.0)
+        wu = ul * w[:, :, None]
+        g = wu.transpose(0, 2, 1) @ ul
+        e = np.linalg.eigvalsh(g)
+        bad = e[:, 0] <= 1e-8 * e[:, -1]
+        plain[live[bad]] = True
+        live, wu, yl, g = live[~bad], wu[~bad], yl[~bad], g[~bad]
+        c[live] = np.linalg.solve(g, np.einsum("fsp,fs->fp", wu, yl)[..., None])[..., 0]
+        new = np.einsum("fpq,fq->fp", back[live], c[live])
+        done = np.abs(new - b[live]).max(axis=1) <= 1e-9 * np.maximum(1.0, np.abs(b[live]).max(axis=1))
+        b[live] = new
+        live = live[~done]
+    for k in np.flatnonzero(plain):
+        b[k] = robust_fit(x[k][ok[k]], y[k][ok[k]], kind, tune, rounds)
+    return b
+
+
+def lassos(problems: list[tuple[np.ndarray, np.ndarray]], lam: float, rounds: int = 500, tol: float = 1e-7) -> list[np.ndarray]:
+    """lasso of many: problems of columns x (steps, terms) and rows y (bands, steps); (bands, 1 + terms) of each. The steps
+    of the descent are made for all bands of all problems together, on the products of the columns."""
+    out: list[np.ndarray] = [np.empty(0)] * len(problems)
+    for p in {x.shape[1] for x, _ in problems}:
+        own = [k for k, (x, _) in enumerate(problems) if x.shape[1] == p]
+        parts = []
+        for k in own:
+            x, y = problems[k]
+            n = len(x)
+            mean, ym = x.sum(axis=0) / n, y.sum(axis=1) / n
+            z, r = x - mean, y - ym[:, None]
+            sd = np.sqrt((z * z).sum(axis=0) / n)
+            sd[sd == 0] = 1.0
+            z /= sd
+            parts.append((mean, sd, ym, z.T @ z / n, r @ z / n, np.abs(r).max(axis=1)))
+        of = np.repeat(np.arange(len(own)), [len(q[2]) for q in parts])
+        g, c = np.stack([q[3] for q in parts])[of], np.concatenate([q[4] for q in parts])
+        stop = tol * np.maximum(1.0, np.concatenate([q[5] for q in parts]))
+        found, live, b = np.zeros_like(c), np.arange(len(c)), np.zeros_like(c)
+        for _ in range(rounds):
+            worst = np.zeros(len(live))
+            for j in range(p):
+                rho = c[:, j] - np.einsum("fk,fk->f", g[:, j], b) + b[:, j]
+                new = np.copysign(np.maximum(np.abs(rho) - lam, 0.0), rho)
+                np.maximum(worst, np.abs(new - b[:, j]), out=worst)
+                b[:, j] = new
+            found[live] = b
+            more = worst >= stop
+            if not more.all():
+                live, g, c, stop, b = live[more], g[more], c[more], stop[more], b[more]
+                if not len(live):
+                    break
+        end = np.cumsum([len(q[2]) for q in parts])
+        for k, (mean, sd, ym, *_), e in zip(own, parts, end):
+            coef = found[e - len(ym) : e] / sd
+            out[k] = np.concatenate([(ym - coef @ mean)[:, None], coef], axis=1)
+    return out
+
+
 def bounded_fits(f, t: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Levenberg-Marquardt on weighted residuals of many fits at once, parameters held in their bounds by a sine transform.
 

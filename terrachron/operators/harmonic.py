@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import chi2_quantile, lasso, robust_fit
+from ..functions.stats import chi2_quantile, lasso, lassos, robust_fit, robust_fits
 from ..sources.cubes import irregular, monthly, r4, to_series
 
 W = 2 * math.pi / 365.25
@@ -249,20 +249,35 @@ def tmask_pixel(days: np.ndarray, green: np.ndarray, swir: np.ndarray, scale: fl
     return ~((r[0] > 0.04) | (r[1] < -0.04))
 
 
+def tmask_pixels(days: np.ndarray, green: np.ndarray, swir: np.ndarray, ok: np.ndarray, scale: float = 10000.0) -> np.ndarray:
+    """tmask_pixel of many, all (pixels, steps), over the steps that are ok; the others stay clear."""
+    t = days.astype(float)
+    mean = (t * ok).sum(axis=1) / np.maximum(ok.sum(axis=1), 1)
+    x = np.stack([np.ones(t.shape), (t - mean[:, None]) / 365.25, np.cos(W * t), np.sin(W * t)], axis=2)
+    r = [v / scale - (x @ robust_fits(x, v / scale, ok, "huber", 1.35, 100)[..., None])[..., 0] for v in (green, swir)]
+    return ~ok | ~((r[0] > 0.04) | (r[1] < -0.04))
+
+
+#: Pixels times steps that tmask fits together.
+CELLS = 1 << 16
+
+
 def tmask(series: DataFrame, scale: float = 10000.0) -> DataFrame:
     """(pixel, ts, clear) of rows (pixel, ts, vs green, swir). Only where both are above 0 is anything judged, and only if
     there are more than five such times; all else stays clear."""
     from ..functions.kernels import run_kernel
 
     def kernel(ts, vs, swir):
-        clear = []
-        for t, g, w in zip(ts, vs, swir):
-            w = np.array([np.nan if x is None else x for x in w], float)
+        clear, n = [], max(1, CELLS // max(1, ts.shape[1]))
+        for k in range(0, len(ts), n):
+            t, g = ts[k : k + n], vs[k : k + n]
+            w = np.array([[np.nan if x is None else x for x in row] for row in swir[k : k + n]], float).reshape(g.shape)
             ok = (g > 0) & (w > 0)
-            c = np.ones(len(t), bool)
-            if ok.sum() > 5:
-                c[ok] = tmask_pixel(t[ok], g[ok], w[ok], scale)
-            clear.append(c.tolist())
+            many = np.flatnonzero(ok.sum(axis=1) > 5)
+            c = np.ones(t.shape, bool)
+            if len(many):
+                c[many] = tmask_pixels(t[many], g[many], w[many], ok[many], scale)
+            clear += c.tolist()
         return {"ts": ts, "clear": clear}
 
     return run_kernel(series, kernel, "ts array<int>, clear array<boolean>", extra=("swir",))
