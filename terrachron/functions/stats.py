@@ -170,39 +170,43 @@ def lassos(problems: list[tuple[np.ndarray, np.ndarray]], lam: float, rounds: in
     """lasso of many: problems of columns x (steps, terms) and rows y (bands, steps); (bands, 1 + terms) of each. The steps
     of the descent are made for all bands of all problems together, on the products of the columns."""
     out: list[np.ndarray] = [np.empty(0)] * len(problems)
-    for p in {x.shape[1] for x, _ in problems}:
-        own = [k for k, (x, _) in enumerate(problems) if x.shape[1] == p]
-        parts = []
-        for k in own:
-            x, y = problems[k]
-            n = len(x)
-            mean, ym = x.sum(axis=0) / n, y.sum(axis=1) / n
-            z, r = x - mean, y - ym[:, None]
-            sd = np.sqrt((z * z).sum(axis=0) / n)
-            sd[sd == 0] = 1.0
-            z /= sd
-            parts.append((mean, sd, ym, z.T @ z / n, r @ z / n, np.abs(r).max(axis=1)))
-        of = np.repeat(np.arange(len(own)), [len(q[2]) for q in parts])
-        g, c = np.stack([q[3] for q in parts])[of], np.concatenate([q[4] for q in parts])
-        stop = tol * np.maximum(1.0, np.concatenate([q[5] for q in parts]))
-        found, live, b = np.zeros_like(c), np.arange(len(c)), np.zeros_like(c)
+    for p, bands in {(x.shape[1], len(y)) for x, y in problems}:
+        own = [k for k, (x, y) in enumerate(problems) if (x.shape[1], len(y)) == (p, bands)]
+        size = np.array([len(problems[k][0]) for k in own])
+        ok, n = np.arange(size.max()) < size[:, None], size[:, None]
+        z, r = np.zeros((*ok.shape, p)), np.zeros((*ok.shape, bands))
+        z[ok], r[ok] = np.concatenate([problems[k][0] for k in own]), np.concatenate([problems[k][1].T for k in own])
+        mean, ym = z.sum(axis=1) / n, r.sum(axis=1) / n
+        z, r = (z - mean[:, None]) * ok[:, :, None], (r - ym[:, None]) * ok[:, :, None]
+        sd = np.sqrt((z * z).sum(axis=1) / n)
+        sd[sd == 0] = 1.0
+        z /= sd[:, None]
+        # a band of a problem is a column from here on
+        g = np.repeat((z.transpose(0, 2, 1) @ z / n[:, :, None]).transpose(1, 2, 0), bands, axis=2)
+        c = (z.transpose(0, 2, 1) @ r / n[:, :, None]).transpose(1, 0, 2).reshape(p, -1)
+        stop = tol * np.maximum(1.0, np.abs(r).max(axis=1)).ravel()
+        b, found, held = np.zeros(c.shape), np.zeros(c.shape), np.arange(c.shape[1])
+        going = np.ones(len(held), bool)
         for _ in range(rounds):
-            worst = np.zeros(len(live))
+            worst = np.zeros(len(held))
             for j in range(p):
-                rho = c[:, j] - np.einsum("fk,fk->f", g[:, j], b) + b[:, j]
+                rho = c[j] - (g[j] * b).sum(axis=0) + b[j]
                 new = np.copysign(np.maximum(np.abs(rho) - lam, 0.0), rho)
-                np.maximum(worst, np.abs(new - b[:, j]), out=worst)
-                b[:, j] = new
-            found[live] = b
-            more = worst >= stop
-            if not more.all():
-                live, g, c, stop, b = live[more], g[more], c[more], stop[more], b[more]
-                if not len(live):
+                np.maximum(worst, np.abs(new - b[j]), out=worst)
+                b[j] = new
+            done = going & (worst < stop)
+            found[:, held[done]] = b[:, done]
+            going &= ~done
+            if 4 * going.sum() < 3 * len(held):
+                held, g, c, stop, b = held[going], g[:, :, going], c[:, going], stop[going], b[:, going]
+                going = np.ones(len(held), bool)
+                if not len(held):
                     break
-        end = np.cumsum([len(q[2]) for q in parts])
-        for k, (mean, sd, ym, *_), e in zip(own, parts, end):
-            coef = found[e - len(ym) : e] / sd
-            out[k] = np.concatenate([(ym - coef @ mean)[:, None], coef], axis=1)
+        found[:, held[going]] = b[:, going]
+        coef = found.T.reshape(len(own), bands, p) / sd[:, None]
+        first = ym - (coef @ mean[:, :, None])[..., 0]
+        for k, row in zip(own, np.concatenate([first[:, :, None], coef], axis=2)):
+            out[k] = row
     return out
 
 

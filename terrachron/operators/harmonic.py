@@ -8,6 +8,7 @@ values times 10000. The scan is sequential in time and runs in numpy within the
 from __future__ import annotations
 
 import math
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import chi2_quantile, lasso, lassos, robust_fit, robust_fits
+from ..functions.stats import chi2_quantile, lassos, robust_fit, robust_fits
 from ..sources.cubes import irregular, monthly, r4, to_series
 
 W = 2 * math.pi / 365.25
@@ -49,32 +50,39 @@ def n_coefficients(n: int, most: int) -> int:
 
 
 class Fitted:
-    """One model a band, of c coefficients padded to 8."""
+    """One model a band, of c coefficients b padded to 8. x (steps, 7) are the terms of 8 coefficients, y (bands, steps)."""
 
-    def __init__(self, t: np.ndarray, y: np.ndarray, c: int):
-        self.t0 = t[0]
-        x = terms(t, c)
-        b = np.stack([lasso(x, v, LAMBDA) for v in y])
+    def __init__(self, x: np.ndarray, y: np.ndarray, c: int, b: np.ndarray):
         self.coef = np.zeros((len(y), 8))
-        self.coef[:, : b.shape[1]] = b
-        self.rest = y - self.at(t)
-        self.rmse = np.sqrt((self.rest**2).sum(axis=1) / max(1, len(t) - c))
+        self.coef[:, :c] = b
+        self.rest = y - self.at(x)
+        self.rmse = np.sqrt((self.rest**2).sum(axis=1) / max(1, len(x) - c))
 
-    def at(self, t: np.ndarray) -> np.ndarray:
-        x = terms(t, 8)
+    def at(self, x: np.ndarray) -> np.ndarray:
         return self.coef[:, :1] + self.coef[:, 1:] @ x.T
 
 
-def multitemporal_mask(t: np.ndarray, green: np.ndarray, swir: np.ndarray, years: float, spread: tuple[float, float], limit: float = 3.89) -> np.ndarray:
-    """True where a robust annual fit calls an observation cloud or shadow."""
-    n = max(1, math.ceil(years))
-    x = np.stack([np.ones(len(t)), np.cos(W * t), np.sin(W * t), np.cos(W / n * t), np.sin(W / n * t)], axis=1)
-    if len(t) <= x.shape[1]:
-        return np.zeros(len(t), bool)
-    bad = np.zeros(len(t), bool)
-    for v, s in zip((green, swir), spread):
-        bad |= np.abs(v - x @ robust_fit(x, v)) > limit * s
-    return bad
+def fits(asked: list[tuple[np.ndarray, np.ndarray, int]]) -> list[Fitted]:
+    """Models of many (x, y, c), made together."""
+    found = lassos([(x[:, : c - 1], y) for x, y, c in asked], LAMBDA)
+    return [Fitted(*ask, b) for ask, b in zip(asked, found)]
+
+
+def multitemporal_masks(asked: list[tuple[np.ndarray, np.ndarray, float, np.ndarray]], limit: float = 3.89) -> list[np.ndarray]:
+    """True where a robust annual fit calls an observation cloud or shadow, for many (times, green and swir, years, spread
+    of both)."""
+    size = np.array([len(t) for t, *_ in asked])
+    ok = np.arange(size.max(initial=0)) < size[:, None]
+    t, y = np.zeros(ok.shape), np.zeros((2, *ok.shape))
+    t[ok] = np.concatenate([t for t, *_ in asked])
+    y[:, ok] = np.concatenate([v for _, v, *_ in asked], axis=1)
+    n = np.array([max(1, math.ceil(years)) for *_, years, _ in asked])[:, None]
+    x = np.stack([np.ones(t.shape), np.cos(W * t), np.sin(W * t), np.cos(W / n * t), np.sin(W / n * t)], axis=2)
+    bad = np.zeros(ok.shape, bool)
+    for v, s in zip(y, np.array([s for *_, s in asked]).T):
+        bad |= np.abs(v - (x @ robust_fits(x, v, ok)[..., None])[..., 0]) > limit * s[:, None]
+    bad &= (size > x.shape[2])[:, None]
+    return [row[:k] for row, k in zip(bad, size)]
 
 
 def _segment(f: Fitted, t: np.ndarray, a: int, b: int, brk: float, mag: np.ndarray, prob: float, category: int, rmse: np.ndarray | None = None) -> dict:
@@ -83,6 +91,28 @@ def _segment(f: Fitted, t: np.ndarray, a: int, b: int, brk: float, mag: np.ndarr
 
 def detect(days: np.ndarray, qa: np.ndarray, bands: np.ndarray, s: Settings) -> list[dict]:
     """Segments of one pixel. bands: (band, time); t in the models is the ordinal day plus 366."""
+    return detect_all([(days, qa, bands)], s)[0]
+
+
+def detect_all(pixels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], s: Settings) -> list[list[dict]]:
+    """Segments of many pixels. Their scans go on side by side; what they ask for is fitted together."""
+    scans, out = [_scan(*p, s) for p in pixels], [[] for _ in pixels]
+    told: list[tuple[int, object]] = [(k, None) for k in range(len(scans))]
+    while told:
+        asked: dict = {fits: [], multitemporal_masks: []}
+        for k, answer in told:
+            try:
+                what, ask = scans[k].send(answer)
+            except StopIteration as end:
+                out[k] = end.value
+            else:
+                asked[what].append((k, ask))
+        told = [x for what, asks in asked.items() if asks for x in zip([k for k, _ in asks], what([ask for _, ask in asks]))]
+    return out
+
+
+def _scan(days: np.ndarray, qa: np.ndarray, bands: np.ndarray, s: Settings) -> Generator[tuple, object, list[dict]]:
+    """detect as a scan that yields (function, what it asks of it), is sent the answer, and returns the segments."""
     bands = np.asarray(bands, float)
     qa = np.where(np.isnan(bands).any(axis=0), 255, qa)
     seen = qa < 255
@@ -103,7 +133,7 @@ def detect(days: np.ndarray, qa: np.ndarray, bands: np.ndarray, s: Settings) ->
         t, at = np.unique(days[use], return_index=True)
         if len(t) < LEAST:
             return []
-        f = Fitted(t + 366.0, bands[:, use][:, at], 4)
+        f = yield fits, (terms(t + 366.0, 8), bands[:, use][:, at], 4)
         return [_segment(f, t, 0, len(t) - 1, 0, zero, 0, category)]
     use = clear & inside
     t, at = np.unique(days[use], return_index=True)
@@ -113,15 +143,16 @@ def detect(days: np.ndarray, qa: np.ndarray, bands: np.ndarray, s: Settings) ->
     spread = np.maximum(np.median(np.abs(np.diff(y, axis=1)), axis=1), 1e-6)
     det, (cut, top) = list(s.detection_bands), s.cuts
     out: list[dict] = []
+    x, rest = terms(t + 366.0, 8), y
 
     def away(model: Fitted, scale: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Differences of observations from the model, and their squared normalised lengths."""
-        d = y[:, i] - model.at(t[i] + 366.0)
+        d = y[:, i] - model.at(x[i])
         return d, ((d[det] / scale[det, None]) ** 2).sum(axis=0)
 
     def drop(k: int | np.ndarray) -> None:
-        nonlocal t, y
-        t, y = np.delete(t, k), np.delete(y, k, axis=1)
+        nonlocal t, y, x, rest
+        t, y, x, rest = np.delete(t, k), np.delete(y, k, axis=1), np.delete(x, k, axis=0), np.delete(rest, k, axis=1)
 
     start, i, last, model, fitted_n, rmse = 0, LEAST - 1, 0, None, 0, spread
     while i + s.consecutive < len(t):
@@ -131,7 +162,8 @@ def detect(days: np.ndarray, qa: np.ndarray, bands: np.ndarray, s: Settings) ->
             continue
         if model is None:
             w = np.arange(start, i + s.consecutive + 1)
-            bad = multitemporal_mask(t[w] + 366.0, y[s.tmask_bands[0], w], y[s.tmask_bands[1], w], (t[w[-1]] - t[w[0]]) / 365.25, (spread[s.tmask_bands[0]], spread[s.tmask_bands[1]]))
+            two = list(s.tmask_bands)
+            bad = yield multitemporal_masks, (t[w] + 366.0, y[two][:, w], (t[w[-1]] - t[w[0]]) / 365.25, spread[two])
             gone = w[: span][bad[:span]]
             if span - len(gone) < LEAST:
                 i += 1
@@ -143,7 +175,7 @@ def detect(days: np.ndarray, qa: np.ndarray, bands: np.ndarray, s: Settings) ->
                 if i - start + 1 < LEAST or (t[i] - t[start]) / 365.25 < LEAST_YEARS:
                     i += 1
                     continue
-            f = Fitted(t[start : i + 1] + 366.0, y[:, start : i + 1], 4)
+            f = yield fits, (x[start : i + 1], y[:, start : i + 1], 4)
             scale = np.maximum(spread, f.rmse)
             v = (np.abs(f.coef[:, 1] * (t[i] - t[start])) + np.abs(f.rest[:, 0]) + np.abs(f.rest[:, -1])) / scale
             if (v[det] ** 2).sum() > cut:
@@ -163,31 +195,41 @@ def detect(days: np.ndarray, qa: np.ndarray, bands: np.ndarray, s: Settings) ->
                     start = k
                 k -= 1
             if not out and start - last >= s.consecutive:
-                early = Fitted(t[last:start] + 366.0, y[:, last:start], 4)
+                early = yield fits, (x[last:start], y[:, last:start], 4)
                 d, far = away(f, scale, np.arange(last, start))
                 out.append(_segment(early, t, last, start - 1, t[start], -np.median(d, axis=1), 1.0, 14))
             model, fitted_n = f, 0
         n = i - start + 1
         c = n_coefficients(n, s.num_c)
         if fitted_n == 0 or n >= 1.33 * fitted_n or (n < 24 and n > fitted_n):
-            model, fitted_n = Fitted(t[start : i + 1] + 366.0, y[:, start : i + 1], c), n
-            rmse = model.rmse
-        near = rmse
+            model, fitted_n = (yield fits, (x[start : i + 1], y[:, start : i + 1], c)), n
+            rmse, rest = model.rmse, y - model.at(x)
+        # this step and those up to the next fit, judged together
+        stop, near = i + 1, rmse[:, None]
         if n >= 24:
-            rest = y[:, start : i + 1] - model.at(t[start : i + 1] + 366.0)
-            doy = np.abs((t[start : i + 1] - t[i + s.consecutive] + 182.6) % 365.25 - 182.6)
-            near = np.sqrt((rest[:, np.argsort(doy, kind="stable")[:24]] ** 2).sum(axis=1) / max(1, 24 - c))
-        d, far = away(model, np.maximum(spread, near), np.arange(i + 1, i + 1 + s.consecutive))
-        if far.min() > cut:
-            out.append(_segment(model, t, start, i, t[i + 1], np.median(d, axis=1), 1.0, c, near))
+            while stop + s.consecutive < len(t) and stop - start + 1 < 1.33 * fitted_n:
+                stop += 1
+            steps = np.arange(i, stop)[:, None]
+            doy = np.abs((t[start:stop] - t[steps + s.consecutive] + 182.6) % 365.25 - 182.6)
+            doy[np.arange(start, stop) > steps] = np.inf
+            near = np.sqrt((rest[:, start:stop][:, np.argsort(doy, axis=1, kind="stable")[:, :24]] ** 2).sum(axis=2) / max(1, 24 - c))
+            d = rest[:, steps + np.arange(1, s.consecutive + 1)]
+        else:
+            d = rest[:, None, i + 1 : i + 1 + s.consecutive]
+        far = ((d[det] / np.maximum(spread[:, None], near)[det, :, None]) ** 2).sum(axis=0)
+        found = np.flatnonzero((far.min(axis=1) > cut) | (far[:, 0] > top))
+        if not len(found):
+            i = stop
+            continue
+        k = found[0]
+        i += int(k)
+        if far[k].min() > cut:
+            out.append(_segment(model, t, start, i, t[i + 1], np.median(d[:, k], axis=1), 1.0, c, near[:, k]))
             last = start = i + 1
             model, fitted_n = None, 0
             i += LEAST
-            continue
-        if far[0] > top:
+        else:
             drop(i + 1)
-            continue
-        i += 1
     if model is not None:
         end = len(t) - 1
         tail = np.arange(max(start, end - s.consecutive + 1), end + 1)
@@ -196,15 +238,19 @@ def detect(days: np.ndarray, qa: np.ndarray, bands: np.ndarray, s: Settings) ->
         while run < len(far) and far[len(far) - 1 - run] > cut:
             run += 1
         stop = end - run
-        m = Fitted(t[start : stop + 1] + 366.0, y[:, start : stop + 1], n_coefficients(stop - start + 1, s.num_c)) if stop - start + 1 >= LEAST else model
+        m = model
+        if stop - start + 1 >= LEAST:
+            m = yield fits, (x[start : stop + 1], y[:, start : stop + 1], n_coefficients(stop - start + 1, s.num_c))
         mag = np.median(d[:, len(far) - run :], axis=1) if run else zero
         out.append(_segment(m, t, start, stop, t[stop + 1] if run else 0, mag, run / s.consecutive, n_coefficients(stop - start + 1, s.num_c)))
     elif len(t) - start >= LEAST:
-        f = Fitted(t[start:] + 366.0, y[:, start:], 4)
+        f = yield fits, (x[start:], y[:, start:], 4)
         out.append(_segment(f, t, start, len(t) - 1, 0, zero, 0, 24))
     return out
 
 
+#: Pixels whose scans a worker holds at a time.
+PIXELS = 1000
 SEGMENT = "struct<t_start:int,t_end:int,t_break:int,coefs:array<array<double>>,rmse:array<double>,magnitude:array<double>,change_prob:double,category:int,num_obs:int>"
 
 
@@ -215,14 +261,15 @@ def ccdc(pixels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     kind = to_arrow_type(_parse_datatype_string(f"array<{SEGMENT}>"))
+    none = np.empty(0, np.int64), np.empty(0), np.empty((1, 0))
 
     def run(it):
-        for b in it:
-            segs = []
+        for b in (batch.slice(k, PIXELS) for batch in it for k in range(0, batch.num_rows, PIXELS)):
+            rows = []
             for ts, qa, bands in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 v = np.array([[np.nan if x is None else x for x in band] for band in bands or []], float)
-                segs.append(detect(np.array(ts or [], np.int64), np.array([255 if q is None else q for q in qa or []]), v, settings) if len(v) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(segs, kind)], names=["pixel", "segs"])
+                rows.append((np.array(ts or [], np.int64), np.array([255 if q is None else q for q in qa or []]), v) if len(v) else none)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(detect_all(rows, settings), kind)], names=["pixel", "segs"])
 
     return pixels.select("pixel", "ts", "qa", "bands").mapInArrow(run, f"pixel bigint, segs array<{SEGMENT}>")
 
